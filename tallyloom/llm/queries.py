@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import terms
-from tallyloom.llm import cooccurrence, distinctive, term_frequency, topn
+from tallyloom.llm import bpe, cooccurrence, distinctive, packing, repetition, similar_sets, term_frequency, topn
 from tallyloom.operators.live import latest
 from tallyloom.session import table, written
 
+#: Where the public vocabularies are; a parameter of the operators.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+CAPACITY = 1024
+
 
 def live_reviews(spark: SparkSession, root: str, **columns: F.Column) -> DataFrame:
     return latest(table(spark, root, "review"), "review_id", "loaded_at", columns)
@@ -56,12 +60,56 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return topn.top_n(live.where("n_terms > 0"), "business_id", "review_id", "n_terms", 3).select("business_id", "review_id")
 
 
+def _visitors(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    live = live_reviews(spark, root, business_id=F.col("business_id"), user_id=F.col("user_id"))
+    return similar_sets.similar_sets(live, "business_id", "user_id", 0.5, min_size=8)
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = similar_sets.expanded(*_visitors(spark, root), "business_id")
+    return pairs.select(F.col("a").alias("business_a"), F.col("b").alias("business_b"))
+
+
+def p6_classes(spark: SparkSession, root: str) -> DataFrame:
+    """One row per business with its class of equal visitors and the number of similar classes."""
+    links, members = _visitors(spark, root)
+    ends = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    return members.join(ends, "class", "left").select("business_id", "class", "size", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.encoded(table(spark, root, "documents"), "doc_id", "text", VOCABULARY)
+
+
+def p9_containers(spark: SparkSession, root: str) -> DataFrame:
+    sizes = bpe.token_counts(table(spark, root, "documents"), "doc_id", "text", VOCABULARY)
+    return packing.packed(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    rules = [("n_terms", ">=", 20), ("repeated_share", ">=", 0.25)]
+    return repetition.passing(table(spark, root, "documents"), "doc_id", "text", rules).select("doc_id")
+
+
+def p10_measures(spark: SparkSession, root: str) -> DataFrame:
+    words = [r["word"] for r in table(spark, root, "stopwords").select(F.lower(F.trim("word")).alias("word")).dropna().distinct().collect()]
+    wanted = ["n_terms", "repeated_terms", "distinct_share", "stopword_share", "repeated_line_share"]
+    out = repetition.measured(table(spark, root, "documents"), "doc_id", "text", wanted, sorted(w for w in words if w))
+    return out.select("doc_id", *[F.round(c, 6).alias(c) if c.endswith("share") else c for c in wanted])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_terms": p1_terms,
+    "p10_found": p10_found,
+    "p10_measures": p10_measures,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
     "p4_found": p4_found,
+    "p6_classes": p6_classes,
+    "p6_found": p6_found,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
 }
