@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import hot_keys
+from tallyloom.functions.text import squeezed
+from tallyloom.operators import hot_keys, packed_values
 from tallyloom.operators.live import latest
 from tallyloom.plans.sql import LIVE
 from tallyloom.session import table
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    names = table(spark, root, "category_list")
+    business = latest(table(spark, root, "business"), "business_id", "updated_at", ["categories"])
+    values = packed_values.unpacked(business, "business_id", "categories", names, "name").withColumn("plain", squeezed(F.col("value")))
+    listed = names.select(squeezed(F.col("name")).alias("plain"), F.col("name").alias("category"))
+    return values.join(listed, "plain").select("business_id", "pos", "category")
+
+
 def p7_per_key(spark: SparkSession, root: str) -> DataFrame:
     columns = {c: F.col(c) for c in ("business_id", "user_id", "stars")}
     live = latest(table(spark, root, "review"), "review_id", "loaded_at", columns)
@@ -28,14 +37,25 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_per_key": p7_per_key,
 }
 
+#: The names of the list, longest first, are searched in the field as one pattern: another way than the operator's.
+P5 = r"""with live as (select * from (select *, row_number() over (partition by business_id order by updated_at desc) as version_rank from business) where version_rank = 1),
+l as (select name, lower(nfc_normalize(name)) as plain from category_list),
+p as (select string_agg(regexp_escape(plain), '|' order by length(plain) desc) as pattern from l),
+b as (select business_id, replace(replace(replace(regexp_replace(lower(nfc_normalize(categories)), '[\s\x{A0}\x{3000}]+', ' ', 'g'), '""', '"'), '\"', '"') as plain from live where categories is not null),
+e as (select business_id, regexp_extract_all(plain, pattern) as found from b, p),
+u as (select business_id, generate_subscripts(found, 1) as pos, found from e)
+select business_id, pos::int as pos, name as category from u join l on l.plain = found[pos]"""
+
 P7 = """select 'business_id' as field, business_id as key_value, {0} from live where business_id is not null group by business_id
 union all select 'user_id', user_id, {0} from live where user_id is not null group by user_id"""
 
 SQL: dict[str, str] = {
+    "p5_found": P5,
     "p7_found": f"with {LIVE}, k as ({P7.format('count(*) as reviews')}) select field, key_value from k where reviews * 100 > (select count(*) from live)",
     "p7_per_key": f"with {LIVE} {P7.format('count(*) as reviews, round(avg(stars), 6) as mean_stars, min(stars) as least, max(stars) as most')}",
 }
