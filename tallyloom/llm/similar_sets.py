@@ -5,7 +5,8 @@ A node starts as the whole collection. At every level each record of a node pick
 records with Jaccard similarity at the threshold or above pick ``BRANCH`` common tokens on average, so they part company
 at a level with a probability of at most exp(-BRANCH). Nodes of at most ``LEAF`` records are searched by brute force, as
 are those that ``DEPTH`` levels couldn't split. The number of trees follows from the recall to reach. Candidates are
-verified exactly against the token table, so that every reported pair is right; sizes too far apart are never candidates.
+verified exactly against the token table, so that every reported pair is right. Pairs that differ in more tokens than the
+threshold allows, by their sizes or by a signature that bounds the difference from below, are dropped within the node.
 
 Everything is kept in long form - one row per record and token - so a record with any number of tokens is no large value.
 Records with equal sets are searched as one (a class); their pairs are added at the end.
@@ -23,7 +24,8 @@ from tallyloom.session import written
 
 BRANCH = 4.0
 DEPTH = 3
-LEAF = 48
+LEAF = 64
+WORDS = 2
 
 
 def trees_for(recall: float) -> int:
@@ -37,90 +39,115 @@ def _picked(token: Column, tree: Column, level: int, share: Column) -> Column:
     return uniform < share
 
 
+def _signature(word: int) -> Column:
+    """64 bits of a set's signature: the exclusive or of one bit per token. Two sets differ in as many tokens at least
+    as their signatures in bits."""
+    h = F.xxhash64("t", F.lit(11))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
+    return F.bit_xor(F.when(F.pmod(F.shiftright(h, 8), F.lit(WORDS)) == word, bit).otherwise(F.lit(0).cast("bigint")))
+
+
 def set_classes(tokens: DataFrame) -> DataFrame:
-    """``(r, c, n)`` of a table of distinct ``(r, t)``: the size of each record's set and its class, named by its
-    smallest record. Sets are compared by size and two sums of 64-bit hashes."""
+    """``(r, c, n, s0, s1)`` of a table of distinct ``(r, side, t)``: the size of each record's set, its class, named by
+    the smallest record of its side with an equal set, and its signature. Sets are compared by size and by sums of hashes,
+    192 bits together."""
     h1, h2 = F.xxhash64("t"), F.xxhash64("t", F.lit(7))
-    folded = tokens.groupBy("r").agg(F.count("*").alias("n"), F.bit_xor(h1).alias("x"), F.sum(h2.cast("decimal(20,0)")).alias("s"))
-    if "side" in tokens.columns:
-        folded = folded.join(tokens.select("r", "side").distinct(), "r")
-    key = [c for c in ("n", "x", "s", "side") if c in folded.columns]
+    folded = tokens.groupBy("side", "r").agg(
+        F.count("*").alias("n"), F.bit_xor(h1).alias("x"), F.sum(h2.cast("decimal(20,0)")).alias("s"), *[_signature(k).alias(f"s{k}") for k in range(WORDS)]
+    )
+    key = ["side", "n", "x", "s"]
     folded = written(folded)
-    return folded.join(folded.groupBy(*key).agg(F.min("r").alias("c")), key).select("r", "c", "n")
+    classes = folded.groupBy(*key).agg(F.min("r").alias("c"))
+    return folded.join(classes, key).select("side", "r", "c", "n", *[f"s{k}" for k in range(WORDS)])
 
 
-def _candidates(tokens: DataFrame, threshold: float, trees: int, between: bool) -> DataFrame:
-    """Distinct ``(a, b, n_a, n_b)`` with a before b that meet in a node. ``tokens`` is ``(r, t, n)``."""
+def _candidates(tokens: DataFrame, sets: DataFrame, threshold: float, trees: int, between: bool) -> DataFrame:
+    """Distinct ``(a, b, n_a, n_b)`` that meet in a node, a before b. ``tokens`` is ``(id, t, n)``, ``sets`` has the size,
+    side and signature of each id. Of the pairs in a node only those are kept that their sizes and signatures allow."""
     share = F.lit(BRANCH) / (F.col("n") * F.lit(threshold))
     every = F.sequence(F.lit(0), F.lit(trees - 1))
-    start = tokens.select("r", "n", "t", F.explode(F.filter(every, lambda k: _picked(F.col("t"), k, 0, share))).alias("tree"))
-    nodes = written(start.select("tree", F.xxhash64("tree", "t").alias("node"), "r", "n"))
+
+    def pick(rows: DataFrame, level: int) -> DataFrame:
+        return rows.select("id", "t", F.explode(F.filter(every, lambda k: _picked(F.col("t"), k, level, share))).alias("tree"))
+
+    nodes = written(pick(tokens, 0).select(F.xxhash64("tree", "t").alias("node"), "tree", "id"))
     leaves = []
-    for level in range(1, DEPTH):
-        counts = nodes.groupBy("tree", "node").agg(F.count("*").alias("members"))
-        large = written(counts.where(F.col("members") > LEAF).select("tree", "node"))
+    for level in range(1, DEPTH + 1):
+        counts = nodes.groupBy("tree", "node").agg(F.count("*").alias("members")).where("members > 1")
+        nodes = nodes.join(counts, ["tree", "node"])
+        if level == DEPTH:
+            leaves.append(nodes.drop("members"))
+            break
+        nodes = written(nodes)
+        leaves.append(nodes.where(F.col("members") <= LEAF).drop("members"))
+        large = nodes.where(F.col("members") > LEAF).drop("members")
         if large.isEmpty():
             break
-        leaves.append(nodes.join(large, ["tree", "node"], "left_anti"))
-        members = nodes.join(large, ["tree", "node"])
         # The tokens of the records that are still in large nodes, each with the trees in which it is picked.
-        wanted = tokens.join(members.select("r").distinct(), "r", "left_semi")
-        picks = wanted.select("r", "t", F.explode(F.filter(every, lambda k, level=level: _picked(F.col("t"), k, level, share))).alias("tree"))
-        children = members.join(picks, ["r", "tree"]).select("tree", F.xxhash64("node", "t", F.lit(level)).alias("node"), "r", "n")
-        nodes = written(children.distinct())
-    leaves.append(nodes)
+        picks = pick(tokens.join(large.select("id").distinct(), "id", "left_semi"), level)
+        nodes = written(large.join(picks, ["id", "tree"]).select(F.xxhash64("node", "t", F.lit(level)).alias("node"), "tree", "id").distinct())
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)
+    words = [f"s{k}" for k in range(WORDS)]
+    rows = rows.join(sets.select("id", "n", "side", *words), "id")
 
-    def wanted_pair(x: Column, y: Column) -> Column:
-        fit = (x["n"] >= y["n"] * F.lit(threshold)) & (y["n"] >= x["n"] * F.lit(threshold))
-        return fit & (F.substring(x["r"], 1, 1) != F.substring(y["r"], 1, 1)) if between else fit
+    def wanted(x: Column, y: Column) -> Column:
+        both = x["n"] + y["n"]
+        differ = sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in words), F.lit(0))
+        fit = (x["n"] >= y["n"] * F.lit(threshold) - 1e-9) & (y["n"] >= x["n"] * F.lit(threshold) - 1e-9)
+        # shared >= threshold * union leaves at most (1 - threshold) / (1 + threshold) of both sizes to differ in
+        fit = fit & (differ <= both * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
+        return fit & (x["side"] != y["side"]) if between else fit
 
-    pair = lambda x, y: F.struct(x["r"].alias("a"), y["r"].alias("b"), x["n"].alias("n_a"), y["n"].alias("n_b"))
-    return pairs_within(rows, ["tree", "node"], "r", ["n"], pair, wanted_pair).distinct()
+    pair = lambda x, y: F.struct(x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("n_a"), y["n"].alias("n_b"))
+    return pairs_within(rows, ["tree", "node"], "id", ["n", "side", *words], pair, wanted).distinct()
 
 
 def _verified(candidates: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
     """The candidates that reach the threshold, with their Jaccard similarity. The smaller set is looked up in the larger."""
     swap = F.col("n_a") > F.col("n_b")
     small, large = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
-    asked = candidates.select("a", "b", "n_a", "n_b", small.alias("r"), large.alias("other"))
-    left = asked.join(tokens.select("r", "t"), "r").drop("r")
-    shared = left.join(tokens.select(F.col("r").alias("other"), "t"), ["other", "t"]).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    asked = candidates.select("a", "b", "n_a", "n_b", small.alias("id"), large.alias("other"))
+    left = asked.join(tokens.select("id", "t"), "id").drop("id")
+    shared = left.join(tokens.select(F.col("id").alias("other"), "t"), ["other", "t"]).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     union = F.col("n_a") + F.col("n_b") - F.col("shared")
     # The slack is for thresholds such as 0.7 that a double only comes close to.
     return shared.where(F.col("shared") >= union * F.lit(threshold) - 1e-9).select("a", "b", "shared", (F.col("shared") / union).alias("jaccard"))
 
 
-def similar_sets(df: DataFrame, record: str, token: str, threshold: float = 0.5, min_size: int = 1, other: DataFrame | None = None, recall: float = 1 - 1e-7) -> tuple[DataFrame, DataFrame]:
-    """``(links, members)``: links ``(a, b, shared, jaccard)`` between classes of equal sets, a before b, and the class
-    of each record, ``members`` ``(record, class, size)``.
+def similar_sets(df: DataFrame, record: str, token: str, threshold: float = 0.5, min_size: int = 1, other: DataFrame | None = None, recall: float = 1 - 1e-5) -> tuple[DataFrame, DataFrame]:
+    """``(links, members)``: links ``(a, b, shared, jaccard)`` between classes of equal sets, and the class of each record,
+    ``members`` ``(record, class, size)``; a before b as strings.
 
     ``df`` has one row per record and token. Rows with a null record or token are left out, repeated rows count once;
-    records with fewer than ``min_size`` tokens take no part; the empty string is a token. With ``other`` (a table with
-    the same two columns) only links between the two tables are sought, and names are prefixed ``0`` and ``1``. An empty
-    table gives two empty results. A pair is missed with probability ``1 - recall`` at most; none is reported wrongly."""
-    def long(table: DataFrame, side: str) -> DataFrame:
-        r = table[record].cast("string")
-        rows = table.select((F.concat(F.lit(side), r) if other is not None else r).alias("r"), table[token].cast("string").alias("t"))
-        return rows.dropna().distinct()
-
-    rows = long(df, "0")
-    if other is not None:
-        rows = rows.unionByName(long(other, "1")).withColumn("side", F.substring("r", 1, 1))
-    rows = written(rows)
-    members = written(set_classes(rows).where(F.col("n") >= min_size))
-    tokens = written(rows.select("r", "t").join(members.where("r = c").select("r", "n"), "r"))
-    candidates = written(_candidates(tokens, threshold, trees_for(recall), other is not None))
+    records with fewer than ``min_size`` tokens take no part; the empty string is a token. With ``other`` (a table with the
+    same two columns) only links from ``df`` (a) to ``other`` (b) are sought, ``members`` has a column ``side`` (0 and 1),
+    and classes are formed within a table. An empty table gives two empty results. A pair at the threshold is missed with
+    probability ``1 - recall`` at most, others less; none is reported wrongly."""
+
+    def long(table: DataFrame, side: int) -> DataFrame:
+        return table.select(F.lit(side).alias("side"), table[record].cast("string").alias("r"), table[token].cast("string").alias("t")).dropna()
+
+    rows = long(df, 0) if other is None else long(df, 0).unionByName(long(other, 1))
+    rows = written(rows.distinct())
+    # Numbers stand for the records from here on; written, they are the same for every reader.
+    members = written(set_classes(rows).where(F.col("n") >= min_size).withColumn("id", F.monotonically_increasing_id()))
+    sets = members.where("r = c")
+    tokens = written(rows.join(sets.select("side", "r", "id", "n"), ["side", "r"]).select("id", "t", "n"))
+    candidates = _candidates(tokens, sets, threshold, trees_for(recall), other is not None)
     links = _verified(candidates, tokens, threshold)
-    if other is not None:  # equal sets of the two tables are separate classes, and linked through the search
-        return links, members.select("r", F.col("c").alias("class"), F.col("n").alias("size"))
-    return links, members.select(F.col("r").alias(record), F.col("c").alias("class"), F.col("n").alias("size"))
+    name = lambda end: sets.select(F.col("id").alias(end), F.col("r").alias(f"r_{end}"), F.col("side").alias(f"side_{end}"))
+    links = links.join(name("a"), "a").join(name("b"), "b")
+    first = F.col("side_a") < F.col("side_b") if other is not None else F.col("r_a") < F.col("r_b")
+    a, b = F.when(first, F.col("r_a")).otherwise(F.col("r_b")), F.when(first, F.col("r_b")).otherwise(F.col("r_a"))
+    shown = [F.col("r").alias(record), F.col("c").alias("class"), F.col("n").alias("size")]
+    return links.select(a.alias("a"), b.alias("b"), "shared", "jaccard"), members.select(*shown, *(["side"] if other is not None else []))
 
 
 def expanded(links: DataFrame, members: DataFrame, record: str) -> DataFrame:
-    """Every similar pair of records, ``(a, b)`` with a before b: the links between classes and the pairs within one."""
+    """Every similar pair of records of one table, ``(a, b)`` with a before b: the links between classes and the pairs
+    within one."""
     of = members.select(F.col("class"), F.col(record).alias("_r"))
     across = links.select("a", "b").join(of.withColumnsRenamed({"class": "a", "_r": "x"}), "a").join(of.withColumnsRenamed({"class": "b", "_r": "y"}), "b")
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
