@@ -7,11 +7,186 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import squeezed
-from tallyloom.operators import hot_keys, packed_values
+from tallyloom.functions.hashing import ITEMS, USERS
+from tallyloom.functions.text import squeezed, tokenize_alnum, tokenize_strip_punct, trimmed
+from tallyloom.operators import cf, explore, graph, hot_keys, itemsets, packed_values, profiles, similarity
 from tallyloom.operators.live import latest
-from tallyloom.plans.sql import LIVE
-from tallyloom.session import table
+from tallyloom.plans import core_sql
+from tallyloom.session import table, written
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+YEAR = "2018"
+STATE = "NV"
+SUPPORT_SHARE = 0.02
+SHARED_ITEMS = 8  # links of the user graph
+SHARED_ITEMS_CORE = 10  # links of its core, small enough for all shortest paths
+
+
+def live_reviews(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    return latest(table(spark, root, "review"), "review_id", "loaded_at", list(columns))
+
+
+def small_baskets(spark: SparkSession, root: str) -> DataFrame:
+    raw = table(spark, root, "small2")
+    return raw.select(trimmed(raw["user_id"]).alias("user_id"), trimmed(raw["business_id"]).alias("business_id")).dropna()
+
+
+def stop_words(spark: SparkSession, root: str) -> list[str]:
+    """A list of words of a language is bounded; here 118 rows."""
+    words = table(spark, root, "stopwords").select(F.lower(F.trim("word")).alias("word")).where("word <> ''").distinct()
+    return sorted(r["word"] for r in words.collect())
+
+
+def review_count(spark: SparkSession, root: str) -> DataFrame:
+    return explore.row_count(table(spark, root, "review"))
+
+
+def date_contains_count(spark: SparkSession, root: str) -> DataFrame:
+    return explore.row_count(table(spark, root, "review"), F.col("date").contains(YEAR))
+
+
+def order_year_count(spark: SparkSession, root: str) -> DataFrame:
+    return explore.row_count(table(spark, root, "orders"), F.year("o_orderdate") == 1997)
+
+
+def distinct_users(spark: SparkSession, root: str) -> DataFrame:
+    return explore.distinct_count(table(spark, root, "review"), "user_id")
+
+
+def top_users(spark: SparkSession, root: str) -> DataFrame:
+    return explore.top_by_count(table(spark, root, "review"), "user_id", 10)
+
+
+def top_words(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "review")
+    return explore.top_words(docs, tokenize_alnum(docs["text"], stop_words(spark, root)), 50)
+
+
+def category_mean(spark: SparkSession, root: str) -> DataFrame:
+    business = latest(table(spark, root, "business"), "business_id", "updated_at", ["categories"])
+    return explore.mean_by_label(live_reviews(spark, root, "business_id", "stars"), business, "business_id", "categories", "stars", ",", 20)
+
+
+def popular_items(spark: SparkSession, root: str) -> DataFrame:
+    return explore.having_count(table(spark, root, "review"), "business_id", 100)
+
+
+def partition_sizes(spark: SparkSession, root: str) -> DataFrame:
+    return explore.partition_report(table(spark, root, "review"), "business_id", 50, 20)
+
+
+def region_pairs(spark: SparkSession, root: str) -> DataFrame:
+    here = F.upper(F.trim("state")) == STATE
+    return explore.pairs_where(table(spark, root, "review"), table(spark, root, "business"), "business_id", here, ["user_id", "business_id"])
+
+
+def baskets(spark: SparkSession, root: str) -> DataFrame:
+    made = explore.baskets(small_baskets(spark, root), "user_id", "business_id", 20)
+    return made.select("basket", F.array_join("items", ",").alias("items"))
+
+
+def frequent_itemsets(spark: SparkSession, root: str) -> DataFrame:
+    rows = small_baskets(spark, root)
+    support = max(2, -int(-SUPPORT_SHARE * rows.select("user_id").distinct().count() // 1))
+    return itemsets.frequent_itemsets(rows, "user_id", "business_id", support).select("size", F.array_join("items", ",").alias("items"), "support")
+
+
+def cooccurrence_edges(spark: SparkSession, root: str) -> DataFrame:
+    return graph.cooccurrence_edges(small_baskets(spark, root), "user_id", "business_id", SHARED_ITEMS)
+
+
+def components(spark: SparkSession, root: str) -> DataFrame:
+    edges = written(cooccurrence_edges(spark, root))
+    return graph.connected_components(graph.vertices(edges), edges)
+
+
+def label_propagation(spark: SparkSession, root: str) -> DataFrame:
+    return graph.label_propagation(written(cooccurrence_edges(spark, root)))
+
+
+def core_edges(spark: SparkSession, root: str) -> DataFrame:
+    return written(graph.cooccurrence_edges(small_baskets(spark, root), "user_id", "business_id", SHARED_ITEMS_CORE))
+
+
+def betweenness(spark: SparkSession, root: str) -> DataFrame:
+    return graph.edge_betweenness(core_edges(spark, root)).withColumn("betweenness", F.round("betweenness", 6))
+
+
+def communities(spark: SparkSession, root: str) -> DataFrame:
+    return graph.girvan_newman(core_edges(spark, root))
+
+
+def visits(spark: SparkSession, root: str) -> DataFrame:
+    return written(live_reviews(spark, root, "business_id", "user_id").select("business_id", "user_id").dropna().distinct())
+
+
+def minhash_signatures(spark: SparkSession, root: str) -> DataFrame:
+    made = similarity.minhash(visits(spark, root), "business_id", "user_id", USERS)
+    return made.select("business_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
+
+
+def lsh_candidates(spark: SparkSession, root: str) -> DataFrame:
+    return similarity.lsh_candidates(written(similarity.minhash(visits(spark, root), "business_id", "user_id", USERS)), "business_id")
+
+
+def similar_items(spark: SparkSession, root: str) -> DataFrame:
+    return similarity.similar_pairs(visits(spark, root), "business_id", "user_id", USERS).withColumn("sim", F.round("sim", 6))
+
+
+def _tfidf(spark: SparkSession, root: str) -> DataFrame:
+    live = latest(table(spark, root, "review"), "review_id", "loaded_at", ["business_id", "text"])
+    words = tokenize_strip_punct(live["text"], stop_words(spark, root))
+    items = table(spark, root, "review").select("business_id").distinct().where("business_id is not null").count()
+    return profiles.tfidf(live, "business_id", "review_id", words, items)
+
+
+def tfidf(spark: SparkSession, root: str) -> DataFrame:
+    return _tfidf(spark, root).withColumn("tfidf", F.round("tfidf", 6))
+
+
+def item_profiles(spark: SparkSession, root: str) -> DataFrame:
+    return profiles.item_profiles(_tfidf(spark, root))
+
+
+def user_profiles(spark: SparkSession, root: str) -> DataFrame:
+    """The size of each user's profile and the ends of its word list."""
+    made = profiles.user_profiles(visits(spark, root), profiles.item_profiles(_tfidf(spark, root)), "user_id", "business_id")
+    return made.groupBy("user").agg(F.count("*").alias("words"), F.min("word").alias("first"), F.max("word").alias("last"))
+
+
+def content_cosine(spark: SparkSession, root: str) -> DataFrame:
+    items = written(profiles.item_profiles(_tfidf(spark, root)))
+    pairs = visits(spark, root)
+    users = written(profiles.user_profiles(pairs, items, "user_id", "business_id"))
+    return profiles.content_predict(pairs, users, items, "user_id", "business_id").withColumn("sim", F.round("sim", 6))
+
+
+def rated(spark: SparkSession, root: str) -> DataFrame:
+    return written(cf.ratings(live_reviews(spark, root, "user_id", "business_id", "stars"), "user_id", "business_id", "stars"))
+
+
+def item_cf_model(spark: SparkSession, root: str) -> DataFrame:
+    return cf.pearson_pairs(rated(spark, root), "item", "user").withColumn("sim", F.round("sim", 6))
+
+
+def _user_model(rows: DataFrame) -> DataFrame:
+    signatures = similarity.minhash(rows, "user", "item", ITEMS)
+    return cf.pearson_pairs(rows, "user", "item", min_jaccard=0.01, signatures=signatures)
+
+
+def user_cf_model(spark: SparkSession, root: str) -> DataFrame:
+    return _user_model(rated(spark, root)).withColumn("sim", F.round("sim", 6))
+
+
+def item_cf_predict(spark: SparkSession, root: str) -> DataFrame:
+    rows = rated(spark, root)
+    return cf.predict_item_based(rows, rows, written(cf.pearson_pairs(rows, "item", "user"))).withColumn("stars", F.round("stars", 5))
+
+
+def user_cf_predict(spark: SparkSession, root: str) -> DataFrame:
+    rows = rated(spark, root)
+    return cf.predict_user_based(rows, rows, written(_user_model(rows))).withColumn("stars", F.round("stars", 5))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
@@ -36,26 +211,38 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return hot_keys.heavy_keys(live, ["business_id", "user_id"], total).select("field", "key_value")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+QUERIES: dict[str, Query] = {
+    "review_count": review_count,
+    "date_contains_count": date_contains_count,
+    "order_year_count": order_year_count,
+    "distinct_users": distinct_users,
+    "top_users": top_users,
+    "top_words": top_words,
+    "category_mean": category_mean,
+    "popular_items": popular_items,
+    "partition_sizes": partition_sizes,
+    "region_pairs": region_pairs,
+    "baskets": baskets,
+    "frequent_itemsets": frequent_itemsets,
+    "cooccurrence_edges": cooccurrence_edges,
+    "components": components,
+    "label_propagation": label_propagation,
+    "betweenness": betweenness,
+    "communities": communities,
+    "minhash_signatures": minhash_signatures,
+    "lsh_candidates": lsh_candidates,
+    "similar_items": similar_items,
+    "tfidf": tfidf,
+    "item_profiles": item_profiles,
+    "user_profiles": user_profiles,
+    "content_cosine": content_cosine,
+    "item_cf_model": item_cf_model,
+    "user_cf_model": user_cf_model,
+    "item_cf_predict": item_cf_predict,
+    "user_cf_predict": user_cf_predict,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_per_key": p7_per_key,
 }
 
-#: The names of the list, longest first, are searched in the field as one pattern: another way than the operator's.
-P5 = r"""with live as (select * from (select *, row_number() over (partition by business_id order by updated_at desc) as version_rank from business) where version_rank = 1),
-l as (select name, lower(nfc_normalize(name)) as plain from category_list),
-p as (select string_agg(regexp_escape(plain), '|' order by length(plain) desc) as pattern from l),
-b as (select business_id, replace(replace(replace(regexp_replace(lower(nfc_normalize(categories)), '[\s\x{A0}\x{3000}]+', ' ', 'g'), '""', '"'), '\"', '"'), '''''', '''') as plain from live where categories is not null),
-e as (select business_id, regexp_extract_all(plain, pattern) as found from b, p),
-u as (select business_id, generate_subscripts(found, 1) as pos, found from e)
-select business_id, pos::int as pos, name as category from u join l on l.plain = found[pos]"""
-
-P7 = """select 'business_id' as field, business_id as key_value, {0} from live where business_id is not null group by business_id
-union all select 'user_id', user_id, {0} from live where user_id is not null group by user_id"""
-
-SQL: dict[str, str] = {
-    "p5_found": P5,
-    "p7_found": f"with {LIVE}, k as ({P7.format('count(*) as reviews')}) select field, key_value from k where reviews * 100 > (select count(*) from live)",
-    "p7_per_key": f"with {LIVE} {P7.format('count(*) as reviews, round(avg(stars), 6) as mean_stars, min(stars) as least, max(stars) as most')}",
-}
+SQL = core_sql.SQL
