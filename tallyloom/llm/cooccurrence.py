@@ -1,15 +1,10 @@
 """Items that appear together in a basket: counts, lift and pointwise mutual information.
 
 Items are deduplicated per basket, ordered pairs are emitted and counted with map-side combining, and the marginals give
-lift and PMI. Two exact prunings keep the emission in check:
-
-* With ``min_count`` = m, the m - 1 largest baskets emit nothing. A pair held by m baskets or more is held by at least one
-  of the others, so every wanted pair is emitted there; what the large baskets add is read off a bit mask per item. A
-  basket with a third of all rows therefore costs one bit per item, not its square.
-* An item in fewer than ``min_count`` baskets, or one so common that ``min_lift`` is out of reach, is left out before.
-
-Large baskets are cut into hashed blocks, and each pair of blocks is a row of its own (:mod:`.pairs`), so that the pairs
-of one basket spread over tasks and no task gathers a basket.
+lift and PMI. Exact prunings keep the emission in check (:func:`~tallyloom.operators.pairs.shared_counts`): the largest
+baskets emit nothing where ``min_count`` allows, an item in fewer than ``min_count`` baskets, or one so common that
+``min_lift`` is out of reach, is left out before. Large baskets are cut into hashed blocks, and each pair of blocks is a
+row of its own, so that the pairs of one basket spread over tasks and no task gathers a basket.
 """
 
 from __future__ import annotations
@@ -18,11 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import trimmed
-from tallyloom.llm.pairs import pairs_within
+from tallyloom.operators.pairs import shared_counts
 from tallyloom.session import written
 
-MOST_ASIDE = 62
-
 
 def pair_counts(df: DataFrame, basket: str, item: str, min_count: int = 1, min_lift: int = 0) -> DataFrame:
     """``(item_a, item_b, together, baskets_a, baskets_b, baskets, lift, pmi)`` of every pair of items with
@@ -33,25 +26,8 @@ def pair_counts(df: DataFrame, basket: str, item: str, min_count: int = 1, min_l
     the empty key is a key. An empty table, or baskets of one item, give no rows. With ``min_count=1`` the result
     itself holds the square of the largest basket."""
     rows = written(df.select(trimmed(df[basket].cast("string")).alias("basket"), trimmed(df[item].cast("string")).alias("item")).dropna().distinct())
-    sizes = rows.groupBy("basket").agg(F.count("*").alias("n"))
-    total = sizes.count()
-    # At most MOST_ASIDE rows come to the driver.
-    aside = [r["basket"] for r in sizes.orderBy(F.desc("n"), "basket").limit(min(min_count - 1, MOST_ASIDE)).collect()]
-    mask = F.lit(0).cast("bigint")
-    for k, key in enumerate(aside):
-        mask = mask + F.when(F.col("basket") == key, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    items = written(
-        rows.groupBy("item").agg(F.count("*").alias("n"), F.sum(mask).alias("mask"))
-        .where((F.col("n") >= min_count) & (F.col("n") * min_lift <= total))
-    )
-    light = rows.where(~F.col("basket").isin(aside)) if aside else rows
-    light = light.join(items.select("item", "mask"), "item")
-    emitted = pairs_within(
-        light, ["basket"], "item", ["mask"],
-        lambda x, y: F.struct(x["item"].alias("a"), y["item"].alias("b"), F.bit_count(x["mask"].bitwiseAND(y["mask"])).alias("aside")),
-    )
-    counted = emitted.groupBy("a", "b", "aside").agg(F.count("*").alias("n")).select("a", "b", (F.col("n") + F.col("aside")).alias("together"))
-    counted = counted.where(F.col("together") >= min_count)
+    total = rows.select("basket").distinct().count()
+    counted, items = shared_counts(rows, "basket", "item", min_count, lambda n: n * min_lift <= total)
     out = counted.join(items.select(F.col("item").alias("a"), F.col("n").alias("n_a")), "a").join(items.select(F.col("item").alias("b"), F.col("n").alias("n_b")), "b")
     wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  (products of counts may exceed a bigint)
     seen, chance = wide("together") * F.lit(total), wide("n_a") * wide("n_b")

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this folder, written independently of the operators."""
 
-from tallyloom.plans.sql import LIVE, terms
+from tallyloom.plans.sql import BASKETS, BLANK, LIVE, terms
 
 P1 = f"""with {LIVE}, t as (select review_id, {terms('text')} as ts from live where text is not null),
 n as (select count(*) as total from t where len(ts) > 0),
@@ -8,9 +8,7 @@ e as (select review_id, unnest(ts) as term from t),
 c as (select term, count(*) as occurrences, count(distinct review_id) as records from e group by term)
 select term, occurrences, records, case when records <= 2 then 'rare' when records * 10 > total then 'common' end as mark from c, n"""
 
-BLANK = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-P2 = f"""with k as (select distinct regexp_replace(user_id, '^{BLANK}|{BLANK}$', '', 'g') as u, regexp_replace(business_id, '^{BLANK}|{BLANK}$', '', 'g') as b
-  from small2 where user_id is not null and business_id is not null),
+P2 = f"""with {BASKETS},
 n as (select count(distinct u) as total from k), m as (select b, count(*) as n from k group by b),
 p as (select x.b as a, y.b as b, count(*) as n from k x join k y on x.u = y.u and x.b < y.b group by 1, 2)
 select a as item_a, p.b as item_b, p.n as together, ma.n as baskets_a, mb.n as baskets_b, total as baskets,
