@@ -13,6 +13,8 @@ from tallyloom.operators import cf, explore, graph, hot_keys, itemsets, packed_v
 from tallyloom.operators.live import latest
 from tallyloom.plans import core_sql
 from tallyloom.session import table, written
+from tallyloom.sources.readers import interactions
+from tallyloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -189,6 +191,15 @@ def user_cf_predict(spark: SparkSession, root: str) -> DataFrame:
     return cf.predict_user_based(rows, rows, written(_user_model(rows))).withColumn("stars", F.round("stars", 5))
 
 
+def order_interactions(spark: SparkSession, root: str) -> DataFrame:
+    return interactions(spark, root)
+
+
+def hourly_events(spark: SparkSession, root: str) -> DataFrame:
+    counts = windows.windowed_counts(table(spark, root, "events"), "ts", "event_type")
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     names = table(spark, root, "category_list")
     business = latest(table(spark, root, "business"), "business_id", "updated_at", ["categories"])
@@ -240,6 +251,8 @@ QUERIES: dict[str, Query] = {
     "user_cf_model": user_cf_model,
     "item_cf_predict": item_cf_predict,
     "user_cf_predict": user_cf_predict,
+    "order_interactions": order_interactions,
+    "hourly_events": hourly_events,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_per_key": p7_per_key,

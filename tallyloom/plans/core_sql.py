@@ -127,6 +127,10 @@ SQL: dict[str, str] = {
     "user_cf_model": f"with {USER_MODEL} select a, b, round(sim, 6) as sim from model",
     "item_cf_predict": ITEM_PREDICT,
     "user_cf_predict": USER_PREDICT,
+    "order_interactions": """select o_custkey as "user", l_partkey as item, max(1.0 + (l_quantity::int - 1) % 5)::double as stars
+  from lineitem join orders on l_orderkey = o_orderkey group by 1, 2""",
+    "hourly_events": """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n from events
+  where event_type is not null group by 1, 2""",
     "p5_found": P5,
     "p7_found": f"with {LIVE}, k as ({P7.format('count(*) as reviews')}) select field, key_value from k where reviews * 100 > (select count(*) from live)",
     "p7_per_key": f"with {LIVE} {P7.format('count(*) as reviews, round(avg(stars), 6) as mean_stars, min(stars) as least, max(stars) as most')}",
