@@ -139,15 +139,15 @@ def packed(sizes: DataFrame, key: str, size: str, capacity: int, group_size: int
     An item is cut only if it alone exceeds the capacity: into pieces of ``capacity`` and a rest, ``piece`` counting from
     0 and ``start`` being its offset. Items of size 0 take no room and go into the first container of their group; a null
     size counts as 0. Repeated keys are items of their own. Container numbers are unique and not contiguous. An empty
-    table gives no rows. The same input gives the same containers."""
+    table gives no rows. The same input in the same partitions gives the same containers."""
     rows = sizes.select(sizes[key].alias("key"), F.coalesce(sizes[size].cast("bigint"), F.lit(0)).alias("total"))
     last = F.greatest(F.lit(0), F.ceil(F.col("total") / capacity) - 1)
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     start = F.col("piece") * capacity
     rows = written(rows.select("key", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("total") - start).cast("bigint").alias("size")))
     groups = max(1, round(rows.count() / group_size))
-    # Repeated keys would all meet in one group: their number within the task sets them apart again.
-    grouped = rows.withColumn("bin_group", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)))
+    # Repeated keys would all meet in one group; their place in the written table sets them apart.
+    grouped = rows.withColumn("bin_group", F.pmod(F.xxhash64("key", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     kind = rows.schema["key"].dataType.simpleString()
     out = grouped.groupBy("bin_group").applyInPandas(_pack(capacity), f"key {kind}, piece bigint, start bigint, size bigint, container bigint")
     return out.select(F.col("key").alias(key), F.col("piece").cast("int").alias("piece"), "start", F.col("size").alias(size), "container")
