@@ -1,5 +1,5 @@
 """Spark-native basket, text, graph and similarity analytics over DataFrames."""
 
-from tallyloom.session import checkpointed, get_spark, table, written
+from tallyloom.session import get_spark, table, written
 
-__all__ = ["checkpointed", "get_spark", "table", "written"]
+__all__ = ["get_spark", "table", "written"]

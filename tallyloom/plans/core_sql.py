@@ -37,7 +37,7 @@ def itemset_sql(levels: int) -> str:
         names = [f"x{i}.b" for i in range(k)]
         joins = " ".join(f"join f x{i} on x{i}.u = x0.u and x{i}.b > x{i - 1}.b" for i in range(1, k))
         parts.append(f"select {k} as size, concat_ws(',', {', '.join(names)}) as items, count(*) as support from f x0 {joins} group by {', '.join(names)} having count(*) >= (select support from s)")
-    return f"""with {BASKETS}, s as (select greatest(2, ceil(0.02 * count(distinct u)))::bigint as support from k),
+    return f"""with {BASKETS}, s as (select greatest(8, ceil(0.02 * count(distinct u)))::bigint as support from k),
 f as (select * from k where b in (select b from k group by b having count(*) >= (select support from s))) """ + " union all ".join(parts)
 
 

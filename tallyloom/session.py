@@ -44,16 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, as Spark's checkpoint; for the rounds of a loop."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` computed once and written as a Parquet table in the shared folder, so that several consumers read it,
     pruned and filtered in the scan, instead of computing it again. It survives the loss of executors. Compressed
-    columns take a fraction of the space of a checkpoint. The table goes with the shared folder."""
+    columns take a fraction of the space of Spark's own checkpoint, and the planner sees the table's real size; after a few
+    rounds of checkpointed joins its estimates would be numbers of millions of digits. The table goes with the folder."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
