@@ -3,8 +3,8 @@
 Items are spread over groups of about ``GROUP`` by a hash, so that each group is a fair sample of all sizes, and each
 group is packed on its own; the price is less than one partly filled container per group. Within a group the largest
 item left is completed by undominated fillings, least waste first. Best-fit decreasing gives the first incumbent; a branch
-is cut as soon as its waste exceeds what a better solution could still afford, and the search ends at the lower bound of
-ceil(sum / capacity) containers, or after ``STEPS`` steps with the best solution so far. No item is ever left out.
+is cut as soon as its waste exceeds what a better solution could still afford, and the search ends at a lower bound of the
+number of containers, or after ``STEPS`` steps with the best solution so far. No item is ever left out.
 """
 
 from __future__ import annotations
@@ -38,6 +38,19 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """The bound of Martello and Toth; ``sizes`` in falling order. With a limit k of at most half the capacity, items above
+    capacity - k share with nobody that counts, items above half the capacity never meet, and what is left of the room
+    beside the latter has to take the items from k on."""
+    best = -(-sum(sizes) // capacity)
+    for k in {s for s in sizes if 2 * s <= capacity}:
+        alone = sum(s > capacity - k for s in sizes)
+        large = [s for s in sizes if s <= capacity - k and 2 * s > capacity]
+        small = sum(s for s in sizes if k <= s and 2 * s <= capacity)
+        best = max(best, alone + len(large) + max(0, -(-(small - (len(large) * capacity - sum(large))) // capacity)))
+    return best
+
+
 class _Budget:
     def __init__(self, steps: int) -> None:
         self.left = steps
@@ -81,7 +94,7 @@ def bin_completion(sizes: list[int], capacity: int, steps: int = STEPS) -> list[
     sizes = sorted(sizes, reverse=True)
     best = best_fit(sizes, capacity)
     total = sum(sizes)
-    least = -(-total // capacity)
+    least = lower_bound(sizes, capacity) if len(best) * capacity >= total + capacity else len(best)
     budget = _Budget(steps)
     # Depth first, with an explicit stack: a group may need more containers than Python has stack.
     if len(best) > least:
