@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     if known.isDefined():
         return known.get()
     named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and not sc.master.startswith("local["):
+    if not named and sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
