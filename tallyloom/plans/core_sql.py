@@ -8,7 +8,7 @@ from tallyloom.plans.sql import BASKETS, BLANK, LIVE, RATINGS, STOPWORDS, graph,
 P5 = r"""with live as (select * from (select *, row_number() over (partition by business_id order by updated_at desc) as version_rank from business) where version_rank = 1),
 l as (select name, lower(nfc_normalize(name)) as plain from category_list),
 p as (select string_agg(regexp_escape(plain), '|' order by length(plain) desc) as pattern from l),
-b as (select business_id, replace(replace(replace(regexp_replace(lower(nfc_normalize(categories)), '[\s\x{A0}\x{3000}]+', ' ', 'g'), '""', '"'), '\"', '"'), '''''', '''') as plain from live where categories is not null),
+b as (select business_id, replace(replace(replace(replace(regexp_replace(lower(nfc_normalize(categories)), '[\s\x{A0}\x{3000}]+', ' ', 'g'), '""', '"'), '\"', '"'), '''''', ''''), '\''', '''') as plain from live where categories is not null),
 e as (select business_id, regexp_extract_all(plain, pattern) as found from b, p),
 u as (select business_id, generate_subscripts(found, 1) as pos, found from e)
 select business_id, pos::int as pos, name as category from u join l on l.plain = found[pos]"""
