@@ -41,6 +41,17 @@ def pairs_within(rows: DataFrame, group: list[str], item: str, carried: list[str
 MOST_ASIDE = 62
 
 
+def largest_aside(rows: DataFrame, group: str, min_count: int) -> tuple[list, Column]:
+    """The ``min_count - 1`` largest groups, by number of rows, and the bit of a row's group among them (0 for the rest)."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
+    # At most MOST_ASIDE rows come to the driver.
+    aside = [r[0] for r in sizes.orderBy(F.desc("n"), group).limit(min(max(min_count - 1, 0), MOST_ASIDE)).collect()]
+    mask = F.lit(0).cast("bigint")
+    for k, key in enumerate(aside):
+        mask = mask + F.when(F.col(group) == key, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return aside, mask
+
+
 def shared_counts(rows: DataFrame, group: str, member: str, min_count: int, wanted_members: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(a, b, together)`` of the members that share at least ``min_count`` groups, and the members kept, ``(member, n)``.
 
@@ -48,12 +59,7 @@ def shared_counts(rows: DataFrame, group: str, member: str, min_count: int, want
     or refused by ``wanted_members(n)``, emit nothing. Nor do the ``min_count - 1`` largest groups: two members with
     ``min_count`` groups in common meet in another one as well, and what the large groups add is read off a bit mask per
     member. A group with a third of all rows thus costs one bit per member, not its square."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    # At most MOST_ASIDE rows come to the driver.
-    aside = [r[0] for r in sizes.orderBy(F.desc("n"), group).limit(min(max(min_count - 1, 0), MOST_ASIDE)).collect()]
-    mask = F.lit(0).cast("bigint")
-    for k, key in enumerate(aside):
-        mask = mask + F.when(F.col(group) == key, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    aside, mask = largest_aside(rows, group, min_count)
     members = rows.groupBy(member).agg(F.count("*").alias("n"), F.sum(mask).alias("mask")).where(F.col("n") >= min_count)
     members = written(members if wanted_members is None else members.where(wanted_members(F.col("n"))))
     light = rows.where(~F.col(group).isin(aside)) if aside else rows
