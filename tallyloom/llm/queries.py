@@ -40,19 +40,20 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("business_a"), F.col("item_b").alias("business_b"))
 
 
-def _distinctive(spark: SparkSession, root: str) -> DataFrame:
+def _distinctive(spark: SparkSession, root: str, min_records: int = 1) -> DataFrame:
     live = live_reviews(spark, root, business_id=F.col("business_id"), text=F.col("text"))
     large = distinctive.large_groups(table(spark, root, "review"), "business_id")  # one column, before versions are told apart
-    return distinctive.distinctive_terms(live, "business_id", "text", terms, "review_id", min_records=3, large=large)
+    return distinctive.distinctive_terms(live, "business_id", "text", terms, "review_id", min_records=min_records, large=large)
 
 
 def p3_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Every term of every business, down to those that one review holds."""
     return _distinctive(spark, root).withColumn("llr", F.round("llr", 4))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     weight = F.col("with_term") / F.col("in_group") * F.log2(F.col("groups") / F.col("groups_with_term"))
-    return _distinctive(spark, root).where(weight >= 1.37).select("business_id", "term")
+    return _distinctive(spark, root, min_records=3).where(weight >= 1.37).select("business_id", "term")
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
