@@ -20,8 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 YEAR = "2018"
 STATE = "NV"
-SUPPORT_SHARE = 0.02
-LEAST_SUPPORT = 8
+SUPPORT = 8  # baskets that hold a frequent itemset, at every scale
 SHARED_ITEMS = 8  # links of the user graph
 SHARED_ITEMS_CORE = 10  # links of its core, small enough for all shortest paths
 
@@ -90,9 +89,7 @@ def baskets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def frequent_itemsets(spark: SparkSession, root: str) -> DataFrame:
-    rows = small_baskets(spark, root)
-    support = max(LEAST_SUPPORT, -int(-SUPPORT_SHARE * rows.select("user_id").distinct().count() // 1))
-    return itemsets.frequent_itemsets(rows, "user_id", "business_id", support).select("size", F.array_join("items", ",").alias("items"), "support")
+    return itemsets.frequent_itemsets(small_baskets(spark, root), "user_id", "business_id", SUPPORT).select("size", F.array_join("items", ",").alias("items"), "support")
 
 
 def cooccurrence_edges(spark: SparkSession, root: str) -> DataFrame:
