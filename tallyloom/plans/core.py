@@ -22,7 +22,6 @@ YEAR = "2018"
 STATE = "NV"
 SUPPORT = 8  # baskets that hold a frequent itemset, at every scale
 SHARED_ITEMS = 8  # links of the user graph
-SHARED_ITEMS_CORE = 10  # links of its core, small enough for all shortest paths
 
 
 def live_reviews(spark: SparkSession, root: str, *columns: str) -> DataFrame:
@@ -105,16 +104,12 @@ def label_propagation(spark: SparkSession, root: str) -> DataFrame:
     return graph.label_propagation(written(cooccurrence_edges(spark, root)))
 
 
-def core_edges(spark: SparkSession, root: str) -> DataFrame:
-    return written(graph.cooccurrence_edges(small_baskets(spark, root), "user_id", "business_id", SHARED_ITEMS_CORE))
-
-
 def betweenness(spark: SparkSession, root: str) -> DataFrame:
-    return graph.edge_betweenness(core_edges(spark, root)).withColumn("betweenness", F.round("betweenness", 6))
+    return graph.edge_betweenness(written(cooccurrence_edges(spark, root))).withColumn("betweenness", F.round("betweenness", 6))
 
 
 def communities(spark: SparkSession, root: str) -> DataFrame:
-    return graph.girvan_newman(core_edges(spark, root))
+    return graph.girvan_newman(written(cooccurrence_edges(spark, root)))
 
 
 def visits(spark: SparkSession, root: str) -> DataFrame:
