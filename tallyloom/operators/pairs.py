@@ -10,17 +10,58 @@ from pyspark.sql import functions as F
 from tallyloom.session import written
 
 BLOCK = 256
+HOT_ROWS = 10_000
+HOT_SHARE = 1000
+
+
+def hot_and_rest(rows: DataFrame, facts: DataFrame, key: list[str], weight: str) -> list[DataFrame]:
+    """The inner join of ``rows`` with ``facts`` in parts that hold each row once, none of which gathers a key in a task.
+
+    ``facts`` has one row per key, ``weight`` being the number of the key's rows; both are written tables. A key is hot if
+    it holds more than ``HOT_ROWS`` rows and more than 1 in ``HOT_SHARE`` of all: fewer than ``HOT_SHARE`` keys, which is
+    the bound of what is broadcast. Their rows stay where they are; those of other keys are shuffled. Without a hot key
+    there is one part."""
+    total, most = facts.agg(F.sum(weight), F.max(weight)).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    if (most or 0) <= limit:
+        return [rows.join(facts, key)]
+    hot = F.broadcast(facts.where(F.col(weight) > limit))
+    rest = facts.where(F.col(weight) <= limit)
+    return [rows.join(hot, key), rows.join(hot.select(*key), key, "left_anti").join(rest, key)]
+
+
+def attached(rows: DataFrame, facts: DataFrame, key: list[str], weight: str) -> DataFrame:
+    """:func:`hot_and_rest` in one table."""
+    first, *more = hot_and_rest(rows, facts, key, weight)
+    for part in more:
+        first = first.unionByName(part)
+    return first
+
+
+def group_sizes(rows: DataFrame, group: list[str], least: int = 2) -> DataFrame:
+    """``(group, _n)``, written: the number of rows of each group that has ``least`` or more, combined map-side."""
+    return written(rows.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least))
+
+
+def with_group_sizes(rows: DataFrame, group: list[str]) -> DataFrame:
+    """The rows of a written table that share their group with another, with the group's number of rows as ``_n``."""
+    return attached(rows, group_sizes(rows, group), group, "_n")
 
 
 def pairs_within(rows: DataFrame, group: list[str], item: str, carried: list[str], pair: Callable[[Column, Column], Column], wanted: Callable[[Column, Column], Column] | None = None, block: int = BLOCK) -> DataFrame:
     """The columns of ``pair(x, y)`` for every two rows of a group with x's ``item`` before y's.
 
     ``rows`` holds ``group``, ``item`` (unique within a group) and ``carried``; x and y are structs of the latter two.
-    ``wanted(x, y)`` filters before anything is built. Groups beyond ``block`` rows are cut by a hash of the item."""
+    ``wanted(x, y)`` filters before anything is built. Groups beyond ``block`` rows are cut by a hash of the item. The rows
+    are written once, as they are counted and then cut."""
     member = F.struct(item, *carried)
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n")).where("_n > 1").select(*group, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    blocked = rows.join(sizes, group).withColumn("_block", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
-    blocked = blocked.groupBy(*group, "_blocks", "_block").agg(F.collect_list(member).alias("_items"))
+    rows = written(rows.select(*dict.fromkeys([*group, item, *carried])))
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    parts = []
+    for part in hot_and_rest(rows, group_sizes(rows, group), group, "_n"):
+        part = part.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
+        parts.append(part.groupBy(*group, "_blocks", "_block").agg(F.collect_list(member).alias("_items")))
+    blocked = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
 
     def emit(left: Column, right: Column, within: bool) -> Column:
         def partners(x: Column) -> Column:
