@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import USERS
-from tallyloom.operators import cf, explore, graph, hot_keys, itemsets, packed_values, profiles, similarity
+from tallyloom.operators import cf, explore, graph, hot_keys, itemsets, packed_values, pairs, profiles, similarity
 from tallyloom.operators.live import latest
 from tallyloom.operators.pairs import pairs_within, shared_counts
 from tallyloom.session import written
@@ -82,9 +82,27 @@ def test_packed_values(spark, listed):
     assert packed_values.unpacked(df.limit(0), "id", "field", names, "name").count() == 0
 
 
+def test_values_of_many_pieces_and_many_delimiters(spark):
+    long = "Arts, Crafts, Sewing, Knitting, Yarn"
+    fields = {
+        f"Bakery, {long}, Delis": ["Bakery", long, "Delis"],  # a listed value of five pieces
+        "Bakery;Wine/Beer|Bar•Delis · Co\tInc, Ltd;Cafes|Bakery": ["Bakery", "Wine/Beer", "Bar•Delis · Co\tInc, Ltd", "Cafes", "Bakery"],  # two delimiters of seven are real
+        'Bakery\r\n"Wine/Beer"\r\nCafes': ["Bakery", "Wine/Beer", "Cafes"],
+        "".join(f"Cafes{d}" for d in packed_values.DELIMITERS): ["Cafes"] * len(packed_values.DELIMITERS),  # all are
+    }
+    names = spark.createDataFrame([(n,) for n in ("Bakery", "Delis", "Cafes", "Wine/Beer", "Bar•Delis · Co Inc, Ltd", long)], "name string")
+    df = spark.createDataFrame(list(enumerate(fields)), "id int, field string")
+    got = defaultdict(list)
+    for r in packed_values.unpacked(df, "id", "field", names, "name").collect():
+        got[r["id"]].append((r["pos"], r["value"]))
+    assert [[v for _, v in sorted(got[i])] for i in range(len(fields))] == list(fields.values())
+
+
 # --- pairs within groups
 
-def test_pairs_in_blocks_are_complete(spark):
+@pytest.mark.parametrize("hot_rows", [10, pairs.HOT_ROWS])
+def test_pairs_in_blocks_are_complete(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(pairs, "HOT_ROWS", hot_rows)
     df = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(60 if g == 1 else 3)] + [(3, 0)], "g int, item int")
     got = rows_of(pairs_within(df, ["g"], "item", [], lambda x, y: F.struct(x["item"].alias("a"), y["item"].alias("b")), block=7))
     want = sorted([*itertools.combinations(range(60), 2), *itertools.combinations(range(3), 2)])
@@ -218,12 +236,12 @@ def test_numbers_and_minhash(spark):
     want = {s: [min(h(i, elements.index(e)) for t, e in rows if t == s) for i in range(1, 31)] for s, _ in rows}
     signatures = similarity.minhash(df, "s", "e", USERS)
     assert dict(rows_of(signatures)) == want
-    pairs = sorted((x, y) for x, y in itertools.combinations(sorted(want), 2) if any(u == v for u, v in zip(want[x], want[y], strict=True)))
-    assert rows_of(similarity.lsh_candidates(signatures, "s")) == pairs
+    meeting = sorted((x, y) for x, y in itertools.combinations(sorted(want), 2) if any(u == v for u, v in zip(want[x], want[y], strict=True)))
+    assert rows_of(similarity.lsh_candidates(signatures, "s")) == meeting
     sets = defaultdict(set)
     for s, e in rows:
         sets[s].add(e)
-    exact = sorted((x, y) for x, y in pairs if len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.3)
+    exact = sorted((x, y) for x, y in meeting if len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.3)
     assert rows_of(similarity.similar_pairs(df, "s", "e", USERS, threshold=0.3), "b1", "b2") == exact
 
 
@@ -255,8 +273,8 @@ def test_profiles(spark):
     items = profiles.item_profiles(scores, top=2)
     assert rows_of(items) == [("x", "a", 1), ("x", "a", 2), ("y", "b", 2), ("y", "c", 1)]
     assert rows_of(profiles.item_profiles(scores, 2, dedup_terms=True)) == [("x", "a", 1), ("x", "b", 2), ("y", "b", 2), ("y", "c", 1)]
-    pairs = spark.createDataFrame([("u", "x"), ("u", "y"), ("v", "none")], "user string, item string")
-    users = profiles.user_profiles(pairs, items, "user", "item")
+    touched = spark.createDataFrame([("u", "x"), ("u", "y"), ("v", "none")], "user string, item string")
+    users = profiles.user_profiles(touched, items, "user", "item")
     assert rows_of(users) == [("u", "a"), ("u", "b"), ("u", "c")]
-    got = {(u, i): s for u, i, s in rows_of(profiles.content_predict(pairs, users, items, "user", "item"))}
+    got = {(u, i): s for u, i, s in rows_of(profiles.content_predict(touched, users, items, "user", "item"))}
     assert got == pytest.approx({("u", "x"): 1 / (3**0.5 * 2**0.5), ("u", "y"): 2 / (3**0.5 * 2**0.5)})
