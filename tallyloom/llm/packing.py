@@ -2,14 +2,19 @@
 
 Items are spread over groups of about ``GROUP`` by a hash, so that each group is a fair sample of all sizes, and each
 group is packed on its own; the price is less than one partly filled container per group. Within a group the largest
-item left is completed by undominated fillings, least waste first. Best-fit decreasing gives the first incumbent; a branch
-is cut as soon as its waste exceeds what a better solution could still afford, and the search ends at a lower bound of the
-number of containers, or after ``STEPS`` steps with the best solution so far. No item is ever left out.
+item left is completed by undominated fillings, enumerated as they are asked for, a few at a time with the least waste
+first; a node goes on with its further fillings when the search comes back to it, so none is left out. Best-fit decreasing
+gives the first incumbent; a branch is cut as soon as its waste exceeds what a better solution could still afford, and the
+search ends at a lower bound of the number of containers, or after ``STEPS`` steps with the best solution so far. No item
+is ever left out.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,8 +23,9 @@ from pyspark.sql import functions as F
 from tallyloom.session import written
 
 GROUP = 4096
-STEPS = 20_000
-FILLINGS = 6
+GROUPS_PER_TASK = 32
+STEPS = 100_000
+SORTED = 6  # fillings that are put in order of their waste before they are branched on
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -42,12 +48,14 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     """The bound of Martello and Toth; ``sizes`` in falling order. With a limit k of at most half the capacity, items above
     capacity - k share with nobody that counts, items above half the capacity never meet, and what is left of the room
     beside the latter has to take the items from k on."""
-    best = -(-sum(sizes) // capacity)
-    for k in {s for s in sizes if 2 * s <= capacity}:
-        alone = sum(s > capacity - k for s in sizes)
-        large = [s for s in sizes if s <= capacity - k and 2 * s > capacity]
-        small = sum(s for s in sizes if k <= s and 2 * s <= capacity)
-        best = max(best, alone + len(large) + max(0, -(-(small - (len(large) * capacity - sum(large))) // capacity)))
+    rising = sizes[::-1]
+    below = [0, *accumulate(rising)]
+    half = bisect_right(rising, capacity // 2)
+    best = -(-below[-1] // capacity)
+    for k in set(rising[:half]):
+        first, alone = bisect_left(rising, k), bisect_right(rising, capacity - k)
+        room = (alone - half) * capacity - (below[alone] - below[half])
+        best = max(best, len(rising) - half + max(0, -(-(below[half] - below[first] - room) // capacity)))
     return best
 
 
@@ -56,37 +64,62 @@ class _Budget:
         self.left = steps
 
 
-def _fillings(left: list[int], room: int, most_waste: int, budget: _Budget) -> list[tuple[int, ...]]:
-    """Up to ``FILLINGS`` undominated sets of the sizes ``left`` (rising) that waste at most ``most_waste`` of ``room``,
-    least waste first."""
-    found: list[tuple[int, tuple[int, ...]]] = []
+def _fillings(sizes: list[int], counts: list[int], room: int, most_waste: int, budget: _Budget) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+    """Every undominated filling of ``room`` that wastes at most ``most_waste``, as (waste, ((index of size, times), ...)).
 
-    def go(high: int, room: int, chosen: tuple[int, ...]) -> bool:
-        """True when enough is found. ``high``: sizes from this index on are out."""
+    ``sizes`` are distinct and rising, ``counts`` how many of each are left. A size is taken as often as it fits, then once
+    less, down to never; what can't be filled up well enough any more, or would leave room for an item passed over, is cut."""
+    below = [0, *accumulate(s * c for s, c in zip(sizes, counts, strict=True))]
+    taken: list[list[int]] = []  # [index, times, room before], from the largest size down
+
+    def descend(index: int, room: int) -> None:
+        """Takes as much as fits of every size below ``index``."""
+        while True:
+            index = min(index, bisect_right(sizes, room)) - 1
+            while index >= 0 and not counts[index]:
+                index -= 1
+            if index < 0:
+                return
+            taken.append([index, min(counts[index], room // sizes[index]), room])
+            room -= taken[-1][1] * sizes[index]
+
+    descend(len(sizes), room)
+    while True:
         budget.left -= 1
-        i = bisect_right(left, room, 0, high) - 1
-        if i < 0:
-            if room <= most_waste and _undominated(left, chosen, room):
-                found.append((room, chosen))
-            return len(found) >= FILLINGS or budget.left <= 0 and bool(found)
-        while i >= 0:
-            # Without any item from here on, the filling could still take one: it isn't maximal, so go no further.
-            if go(i, room - left[i], (*chosen, left[i])) or budget.left <= -STEPS:
-                return True
-            i = bisect_left(left, left[i]) - 1
-        return False
+        if budget.left < 0:
+            return
+        waste = taken[-1][2] - taken[-1][1] * sizes[taken[-1][0]] if taken else room
+        if waste <= most_waste:
+            chosen = {i: n for i, n, _ in taken if n}
+            if _undominated(sizes, counts, chosen, waste):
+                yield waste, tuple(chosen.items())
+        while taken:
+            top = taken[-1]
+            if not top[1]:
+                taken.pop()
+                continue
+            top[1] -= 1
+            left = top[2] - top[1] * sizes[top[0]]
+            # Items below have to fill it up to less than the item just passed over, and well enough.
+            if left - below[top[0]] <= min(most_waste, sizes[top[0]] - 1):
+                descend(top[0], left)
+                break
+            taken.pop()
+        else:
+            return
 
-    go(len(left), room, ())
-    return [f for _, f in sorted(found, key=lambda x: (x[0], len(x[1])))]
 
+def _undominated(sizes: list[int], counts: list[int], chosen: dict[int, int], waste: int) -> bool:
+    """No item left fits beside the chosen ones, and none of them can be exchanged for a larger one that is left."""
+    left = lambda i: counts[i] - chosen.get(i, 0)
+    if any(left(i) for i in range(bisect_right(sizes, waste))):
+        return False
+    return not any(left(j) for i in chosen for j in range(i + 1, bisect_right(sizes, sizes[i] + waste)))
 
-def _undominated(left: list[int], chosen: tuple[int, ...], waste: int) -> bool:
-    """No chosen size can be exchanged for a larger one that is left and still fits."""
-    for c in set(chosen):
-        i = bisect_right(left, c)
-        if i < len(left) and left[i] <= c + waste and chosen.count(left[i]) < bisect_right(left, left[i]) - i:
-            return False
-    return True
+
+def _ordered(fillings: Iterator) -> Iterator:
+    while some := sorted(islice(fillings, SORTED)):
+        yield from some
 
 
 def bin_completion(sizes: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
@@ -94,40 +127,44 @@ def bin_completion(sizes: list[int], capacity: int, steps: int = STEPS) -> list[
     sizes = sorted(sizes, reverse=True)
     best = best_fit(sizes, capacity)
     total = sum(sizes)
-    least = lower_bound(sizes, capacity) if len(best) * capacity >= total + capacity else len(best)
-    budget = _Budget(steps)
+    least = lower_bound(sizes, capacity)
+    if len(best) <= least:
+        return best
+    budget, fewest, held = _Budget(steps), len(best), Counter(sizes)
+    kinds = sorted(held)
+
+    def node(counts: list[int], packed, number: int, waste: int):
+        """A state of the search: the largest item left, and the fillings to go beside it."""
+        top = max(i for i, c in enumerate(counts) if c)
+        counts[top] -= 1
+        affordable = (fewest - 1) * capacity - total - waste
+        return counts, packed, number, waste, top, _ordered(_fillings(kinds, counts, capacity - kinds[top], affordable, budget))
+
     # Depth first, with an explicit stack: a group may need more containers than Python has stack.
-    if len(best) > least:
-        stack = [(sizes[::-1], [], 0)]
-        while stack and budget.left > 0 and len(best) > least:
-            left, bins, waste = stack.pop()
-            while left:
-                affordable = (len(best) - 1) * capacity - total - waste
-                if affordable < 0:
-                    break
-                top = left[-1]
-                rest = left[:-1]
-                options = _fillings(rest, capacity - top, affordable, budget)
-                if not options:
-                    break
-                for filling in reversed(options[1:]):
-                    stack.append((_without(rest, filling), [*bins, [top, *filling]], waste + capacity - top - sum(filling)))
-                left = _without(rest, options[0])
-                bins = [*bins, [top, *options[0]]]
-                waste += capacity - top - sum(options[0])
-            else:
-                if len(bins) < len(best):
-                    best = bins
+    stack = [node([held[k] for k in kinds], None, 0, 0)]
+    while stack and budget.left > 0 and fewest > least:
+        counts, packed, number, waste, top, options = stack[-1]
+        option = next(options, None)
+        if option is None:
+            stack.pop()
+            continue
+        more, filling = option
+        if waste + more > (fewest - 1) * capacity - total:
+            continue
+        after = counts.copy()
+        for i, n in filling:
+            after[i] -= n
+        made = (packed, (top, filling))
+        if any(after):
+            stack.append(node(after, made, number + 1, waste + more))
+        elif number + 1 < fewest:
+            fewest, best = number + 1, []
+            while made:
+                made, (top, filling) = made
+                best.append([kinds[top], *(kinds[i] for i, n in filling for _ in range(n))])
     return best
 
 
-def _without(left: list[int], gone: tuple[int, ...]) -> list[int]:
-    out = left.copy()
-    for s in gone:
-        del out[bisect_left(out, s)]
-    return out
-
-
 def _pack(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
@@ -161,6 +198,9 @@ def packed(sizes: DataFrame, key: str, size: str, capacity: int, group_size: int
     groups = max(1, round(rows.count() / group_size))
     # Repeated keys would all meet in one group; their place in the written table sets them apart.
     grouped = rows.withColumn("bin_group", F.pmod(F.xxhash64("key", "piece", F.monotonically_increasing_id()), F.lit(groups)))
+    # As many tasks as the search is work for; by bytes all groups would be one.
+    sc = sizes.sparkSession.sparkContext
+    grouped = grouped.repartition(min(groups, max(4 * sc.defaultParallelism, groups // GROUPS_PER_TASK)), "bin_group")
     kind = rows.schema["key"].dataType.simpleString()
     out = grouped.groupBy("bin_group").applyInPandas(_pack(capacity), f"key {kind}, piece bigint, start bigint, size bigint, container bigint")
     return out.select(F.col("key").alias(key), F.col("piece").cast("int").alias("piece"), "start", F.col("size").alias(size), "container")

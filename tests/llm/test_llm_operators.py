@@ -284,6 +284,41 @@ def test_lower_bound(sizes):
     assert packing.lower_bound(sorted(sizes, reverse=True), 20) <= fewest(sizes, 20)
 
 
+def test_many_small_items():
+    assert len(packing.bin_completion([2] * 2047, 2047)) == 3
+    assert len(packing.bin_completion([1] * 5000, 1000)) == 5
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=7), st.integers(1, 20))
+def test_every_undominated_filling_comes_out(items, room):
+    """Against all subsets: whatever isn't enumerated is dominated by a filling that is."""
+    held = Counter(items)
+    kinds = sorted(held)
+    found = {tuple(sorted((kinds[i], n) for i, n in f)) for _, f in packing._fillings(kinds, [held[k] for k in kinds], room, room, packing._Budget(10**9))}
+    waste = {room - sum(k * n for k, n in f) for f in found}
+    sums = {sum(c) for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(c) <= room}
+    assert min(waste) == room - max(sums)
+    for f in found:
+        left = held - Counter(dict(f))
+        rest = room - sum(k * n for k, n in f)
+        assert rest >= 0 and all(k > rest for k in left) and not any(k < j <= k + rest for k, _ in f for j in left)
+    for n in range(len(items) + 1):
+        for c in itertools.combinations(sorted(items), n):
+            rest, left = room - sum(c), held - Counter(c)
+            if rest >= 0 and all(k > rest for k in left) and not any(k < j <= k + rest for k in c for j in left):
+                assert tuple(sorted(Counter(c).items())) in found
+
+
+@pytest.mark.parametrize("capacity", [1024, 2048, 8192])
+def test_containers_against_the_lower_bound(capacity):
+    rng = random.Random(capacity)
+    sizes = [min(capacity, 1 + int(rng.lognormvariate(4.5, 1.2))) for _ in range(packing.GROUP)]
+    bins = packing.bin_completion(sizes, capacity)
+    assert sorted(x for b in bins for x in b) == sorted(sizes) and all(sum(b) <= capacity for b in bins)
+    assert len(bins) <= packing.lower_bound(sorted(sizes, reverse=True), capacity) + 1
+
+
 def test_bin_completion_beats_best_fit():
     sizes = [6, 6, 5, 5, 5, 4, 4, 4, 3, 3, 2, 2, 2] * 2
     assert len(packing.bin_completion(sizes, 17)) <= len(packing.best_fit(sorted(sizes, reverse=True), 17))
