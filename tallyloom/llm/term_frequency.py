@@ -3,7 +3,9 @@
 Each map task turns its records into (term, container) rows. A container holds the record numbers that share their
 upper 48 bits, as sorted 16-bit offsets up to ``DENSE`` of them and as a bitmap of 8 KiB beyond; the number of
 occurrences travels beside it. Only these combined rows are shuffled - the most common term of the collection costs one
-row per 65,536 records of a task - and merged by union; a term's document frequency is the cardinality of its union.
+row per 65,536 records of a task - by term and container, so that the containers of a common term spread over tasks. There
+they are merged by union and reduced to their cardinality; a term's document frequency is the sum over its containers,
+which are disjoint by their number, combined map-side.
 
 The containers are built with Arrow and numpy (``mapInArrow``): Spark's own bitmap aggregates have a fixed 4 KiB per
 term and bucket, which is not compressed and unaffordable for the millions of terms that occur once.
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 DENSE = 4096
 BLOCK = 2_000_000
+COUNTS = ["term", "occurrences", "records"]
 CONTAINERS = "term string, container bigint, records bigint, occurrences bigint, bits binary"
 
 
@@ -112,23 +115,18 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by term and container in, one row per term out. Containers that meet are united; others of a term
-    are disjoint by their number, so that the union's cardinality is the sum of theirs."""
+    """Rows sorted by term and container in, one row per term and container out: the cardinality of the union of the
+    containers that meet. One container of one term is held at a time."""
     carry: pa.RecordBatch | None = None
     for batch in batches:
-        if carry is not None:
-            batch = pa.concat_batches([carry, batch])
         if not batch.num_rows:
             continue
-        last = batch.column(0)[-1]
-        same = pc.is_null(batch.column(0)) if not last.is_valid else pc.fill_null(pc.equal(batch.column(0), last), False)
-        # The last term may go on in the next batch; what is known of it is carried over, united already.
-        at = batch.num_rows - int(pc.sum(same).as_py())
-        if at:
-            yield _totals(_united(batch.slice(0, at)))
-        carry = _united(batch.slice(at))
-    if carry is not None and carry.num_rows:
-        yield _totals(carry)
+        batch = _united(batch if carry is None else pa.concat_batches([carry, batch]))
+        # The last container may go on in the next batch.
+        yield batch.slice(0, batch.num_rows - 1).select(COUNTS)
+        carry = batch.slice(batch.num_rows - 1)
+    if carry is not None:
+        yield carry.select(COUNTS)
 
 
 def _starts(column: pa.Array) -> np.ndarray:
@@ -158,18 +156,6 @@ def _united(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(records[start]), pa.array(times), pa.array(out, pa.binary())], names=batch.schema.names)
 
 
-def _totals(batch: pa.RecordBatch) -> pa.RecordBatch:
-    start = np.flatnonzero(_starts(batch.column(0)))
-    return pa.record_batch(
-        [
-            batch.column(0).take(pa.array(start)),
-            pa.array(np.add.reduceat(batch.column(3).to_numpy(), start)),
-            pa.array(np.add.reduceat(batch.column(2).to_numpy(), start)),
-        ],
-        names=["term", "occurrences", "records"],
-    )
-
-
 def term_bitmaps(df: DataFrame, terms: Column | str, record: Column | str | None = None) -> DataFrame:
     """The containers of every term, combined per map task: ``(term, container, records, occurrences, bits)``.
 
@@ -190,8 +176,9 @@ def term_frequencies(df: DataFrame, terms: Column | str, record: Column | str |
     Term null counts the records that have any term (and is absent if there is none). Parameters and the treatment of
     nulls as in :func:`term_bitmaps`; an empty table gives no rows; the order of rows and ties play no part."""
     parts = term_bitmaps(df, terms, record)
-    ordered = parts.repartition("term").sortWithinPartitions("term", "container")
-    return ordered.mapInArrow(_merge, "term string, occurrences bigint, records bigint")
+    ordered = parts.repartition("term", "container").sortWithinPartitions("term", "container")
+    merged = ordered.mapInArrow(_merge, "term string, occurrences bigint, records bigint")
+    return merged.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def marked(frequencies: DataFrame, rare_records: int = 2, common_share: float = 0.1) -> DataFrame:
