@@ -1,9 +1,9 @@
 """How distinctive a term is for a group of records: Dunning's log-likelihood ratio on a two-by-two table.
 
-The table counts the records of the group with and without the term against those of the rest of the collection. Records
-are brought together by group, those of a large group spread over salts, so that the counts of (group, term) come about
-within a task; only the few large groups are combined once more. The counts are written once and read twice: for the
-totals per term, combined map-side, and for the rows to score.
+The table counts the records of the group with and without the term against those of the rest of the collection. Every
+record's distinct terms are counted by (group, term) with map-side combining, so texts stay where they are and a group of
+any size costs a task at most one row per term. The counts are written once and read twice: for the totals per term, again
+combined map-side, and for the rows to score.
 """
 
 from __future__ import annotations
@@ -11,12 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.hot_keys import heavy_keys
 from tallyloom.session import written
 
-SALTS = 64
-LARGE_SHARE = 256
-
 
 def _entropy_part(k: Column, n: Column) -> Column:
     """k * ln(k / n), 0 for k = 0."""
@@ -32,34 +28,19 @@ def llr(k11: Column, k12: Column, k21: Column, k22: Column) -> Column:
     return F.greatest(F.lit(0.0), 2 * (cells - rows - cols))
 
 
-def large_groups(df: DataFrame, group: str) -> list:
-    """The groups that hold more than 1 in ``LARGE_SHARE`` rows: fewer than ``LARGE_SHARE`` values come to the driver."""
-    keys = df.select(df[group].alias("g"))
-    return [r["key_value"] for r in heavy_keys(keys, ["g"], keys.count(), LARGE_SHARE).collect()]
-
-
-def distinctive_terms(records: DataFrame, group: str, text: str, terms, salt: str, min_records: int = 1, large: list | None = None) -> DataFrame:
+def distinctive_terms(records: DataFrame, group: str, text: str, terms, min_records: int = 1) -> DataFrame:
     """``(group, term, with_term, in_group, groups_with_term, groups, llr)`` for every term of every group that at least
     ``min_records`` of its records hold.
 
-    ``records`` has one row per record; ``terms`` maps the column ``text`` to its array of terms, ``salt`` names a column
-    that differs between the records of a group. ``with_term`` of the group's ``in_group`` records with any term hold the
-    term, as do ``groups_with_term`` of the ``groups`` that have such records. ``llr`` is positive if the group holds the
-    term more often than the rest, negative if less. A null group is none; null and empty texts have no terms; with a
-    single group nothing remains to compare with and ``llr`` is 0. An empty table gives no rows. ``large`` names the groups
-    to spread, if the caller can tell them at less cost than :func:`large_groups` over ``records``; it has no effect on
-    the result."""
-    rows = records.select(records[group].alias("g"), records[salt].alias("s"), records[text].alias("t")).where("g is not null")
-    if large is None:
-        large = large_groups(records, group)
-    is_large = F.col("g").cast("string").isin(large) if large else F.lit(False)
-    salted = rows.withColumn("s", F.when(is_large, F.pmod(F.xxhash64("s"), F.lit(SALTS))).otherwise(0).cast("int")).repartition("g", "s")
+    ``records`` has one row per record; ``terms`` maps the column ``text`` to its array of terms. ``with_term`` of the
+    group's ``in_group`` records with any term hold the term, as do ``groups_with_term`` of the ``groups`` that have such
+    records. ``llr`` is positive if the group holds the term more often than the rest, negative if less. A null group is
+    none; null and empty texts have no terms; with a single group nothing remains to compare with and ``llr`` is 0. An
+    empty table gives no rows."""
+    rows = records.select(records[group].alias("g"), records[text].alias("t")).where("g is not null")
+    held = rows.select("g", F.array_distinct(terms(F.col("t"))).alias("ts")).where("size(ts) > 0")
     # The null at the end of each record's terms counts the record itself.
-    held = salted.select("g", "s", F.array_distinct(terms(F.col("t"))).alias("ts")).where("size(ts) > 0")
-    counts = held.select("g", "s", F.explode(F.array_append("ts", F.lit(None).cast("string"))).alias("term")).groupBy("g", "s", "term").agg(F.count("*").alias("n"))
-    counts = counts.drop("s") if not large else (
-        counts.where(~is_large).drop("s").unionAll(counts.where(is_large).groupBy("g", "term").agg(F.sum("n").alias("n")))
-    )
+    counts = held.select("g", F.explode(F.array_append("ts", F.lit(None).cast("string"))).alias("term")).groupBy("g", "term").agg(F.count("*").alias("n"))
     counts = written(counts)
     sizes = counts.where("term is null").select("g", F.col("n").alias("in_group"))
     groups, all_records = sizes.agg(F.count("*"), F.sum("in_group")).first()

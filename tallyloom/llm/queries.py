@@ -42,8 +42,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 def _distinctive(spark: SparkSession, root: str, min_records: int = 1) -> DataFrame:
     live = live_reviews(spark, root, business_id=F.col("business_id"), text=F.col("text"))
-    large = distinctive.large_groups(table(spark, root, "review"), "business_id")  # one column, before versions are told apart
-    return distinctive.distinctive_terms(live, "business_id", "text", terms, "review_id", min_records=min_records, large=large)
+    return distinctive.distinctive_terms(live, "business_id", "text", terms, min_records)
 
 
 def p3_scores(spark: SparkSession, root: str) -> DataFrame:
