@@ -152,8 +152,8 @@ def test_top_n(spark):
         for g in sorted({d[0] for d in data if d[0] is not None}):
             own = sorted(((s is None, -(s or 0), i is None, i or "", s, i) for h, i, s in data if h == g))[:n]
             want += [(g, x[5], x[4], k + 1) for k, x in enumerate(own)]
-        for buckets in (None, 1):
-            got = topn.top_n(df, "g", "item", "score", n, buckets)
+        for bucket_rows in (topn.BUCKET_ROWS, 90):
+            got = topn.top_n(df, "g", "item", "score", n, bucket_rows)
             assert rows_of(got, "g", "rank") == sorted((w[0], w[3]) for w in want)
             assert rows_of(got) == sorted(want, key=lambda r: [(x is None, x) for x in r])
     assert topn.top_n(df, "g", "item", "score", 0).count() == 0
@@ -170,6 +170,21 @@ def test_loser_tree_merge(runs, n):
     assert list(topn.merge_top(runs, n)) == want
 
 
+@given(st.lists(st.lists(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 9)), max_size=4), max_size=5), max_size=6), st.integers(1, 3))
+def test_merge_of_runs_in_chunks(runs, n):
+    whole = [sorted(x for chunk in run for x in chunk) for run in runs]
+    cut = [[own[i : i + 3] for i in range(0, len(own), 3)] + [[]] for own in whole]
+    assert list(topn.merge_top([topn.Run(c) for c in cut], n)) == list(topn.merge_top(whole, n))
+
+
+def test_top_n_of_a_million_groups(spark):
+    df = spark.range(2_000_000).select((F.col("id") % 1_000_000).alias("g"), F.col("id").alias("item"), (F.col("id") % 7).alias("score"))
+    got = topn.top_n(df, "g", "item", "score", 1)
+    want = df.groupBy("g").agg(F.max(F.struct("score", -F.col("item"))).alias("b")).select("g", (-F.col("b.col2")).alias("item"), "b.score")
+    sums = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("g", "item", "score"))).first()
+    assert sums(got) == sums(want) and sums(got)[0] == 1_000_000
+
+
 # --- 6: similar sets
 
 def exact_pairs(sets, threshold, least):
