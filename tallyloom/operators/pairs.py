@@ -1,4 +1,4 @@
-"""All pairs within groups, without gathering a group: hashed blocks of bounded size, one row per pair of blocks."""
+"""All pairs within groups, without gathering a group: hashed blocks of bounded size, one key per pair of blocks."""
 
 from __future__ import annotations
 
@@ -52,31 +52,28 @@ def pairs_within(rows: DataFrame, group: list[str], item: str, carried: list[str
     """The columns of ``pair(x, y)`` for every two rows of a group with x's ``item`` before y's.
 
     ``rows`` holds ``group``, ``item`` (unique within a group) and ``carried``; x and y are structs of the latter two.
-    ``wanted(x, y)`` filters before anything is built. Groups beyond ``block`` rows are cut by a hash of the item. The rows
-    are written once, as they are counted and then cut."""
-    member = F.struct(item, *carried)
+    ``wanted(x, y)``, which must not depend on the order of the two, filters before anything is built. The rows are written
+    once, as they are counted and then joined: groups of up to ``block`` rows with themselves, larger ones cut by a hash of
+    the item, with a key for every two blocks. So no key of a join has more than about ``block`` rows on a side."""
     rows = written(rows.select(*dict.fromkeys([*group, item, *carried])))
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    parts = []
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    names = [f"_g{i}" for i in range(len(group))]
+    x, y = F.col("_x"), F.col("_y")
+    fit = wanted(x, y) if wanted is not None else F.lit(True)
+    out = []
     for part in hot_and_rest(rows, group_sizes(rows, group), group, "_n"):
-        part = part.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
-        parts.append(part.groupBy(*group, "_blocks", "_block").agg(F.collect_list(member).alias("_items")))
-    blocked = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
-
-    def emit(left: Column, right: Column, within: bool) -> Column:
-        def partners(x: Column) -> Column:
-            ok = lambda y: (x[item] < y[item]) if within else (x[item] != y[item])
-            keep = (lambda y: ok(y) & wanted(x, y)) if wanted is not None else ok
-            first = lambda y: pair(x, y) if within else F.when(x[item] < y[item], pair(x, y)).otherwise(pair(y, x))
-            return F.transform(F.filter(right, keep), first)
-
-        return F.explode(F.flatten(F.transform(left, partners))).alias("_p")
-
-    within = blocked.where(F.size("_items") > 1).select(emit(F.col("_items"), F.col("_items"), True))
-    many = blocked.where("_blocks > 1")
-    left = many.where("_block < _blocks - 1").select(*group, F.col("_items").alias("_left"), F.explode(F.expr("sequence(_block + 1, _blocks - 1)")).alias("_block"))
-    across = left.join(many.select(*group, "_block", F.col("_items").alias("_right")), [*group, "_block"])
-    return within.unionAll(across.select(emit(F.col("_left"), F.col("_right"), False))).select("_p.*")
+        part = part.select(*keys, "_n", F.struct(item, *carried).alias("_x"), F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+        small = part.where("_blocks = 1").select(*names, "_x")
+        out.append(small.join(small.withColumnRenamed("_x", "_y"), names).where((x[item] < y[item]) & fit).select(pair(x, y).alias("_p")))
+        cut = part.where("_blocks > 1").withColumn("_block", F.pmod(F.xxhash64(x[item]), F.col("_blocks")).cast("int"))
+        left = cut.select(*names, "_x", F.col("_block").alias("_left"), F.explode(F.expr("sequence(_block, _blocks - 1)")).alias("_right"))
+        right = cut.select(*names, F.col("_x").alias("_y"), F.explode(F.expr("sequence(0, _block)")).alias("_left"), F.col("_block").alias("_right"))
+        met = left.join(right, [*names, "_left", "_right"]).where(((F.col("_left") < F.col("_right")) | (x[item] < y[item])) & fit)
+        out.append(met.select(F.when(x[item] < y[item], pair(x, y)).otherwise(pair(y, x)).alias("_p")))
+    made = out[0]
+    for more in out[1:]:
+        made = made.unionAll(more)
+    return made.select("_p.*")
 
 
 MOST_ASIDE = 62
