@@ -43,14 +43,12 @@ def squeezed(name: Column) -> Column:
 
 
 def tokenize_alnum(text: Column, stopwords: list[str] = ()) -> Column:
-    """Lower case, split at white space, drop lone punctuation marks, strip everything but ASCII letters and digits,
-    then drop stop words and empty words - in this order, so "don't" becomes "dont" and survives the stop word "don"."""
-    lone = ["(", "[", ",", ".", "!", "?", ":", ";", "]", ")"]  # fixed values
-    words = F.split(F.lower(text), rf"[{SPACE}]+")
-    words = F.filter(words, lambda w: ~w.isin(lone))
-    words = F.transform(words, lambda w: F.regexp_replace(w, r"[^a-zA-Z0-9]", ""))
+    """Lower case, everything but ASCII letters, digits and white space deleted, split at white space, then stop words and
+    empty words dropped - in this order, so "don't" becomes "dont" and survives the stop word "don". Lone punctuation
+    marks are words of nothing and go with the empty ones."""
+    clean = F.regexp_replace(F.lower(text), rf"[^a-zA-Z0-9{SPACE}]+", "")
     drop = ["", *stopwords]
-    return F.filter(words, lambda w: ~w.isin(drop))
+    return F.filter(F.split(clean, rf"[{SPACE}]+"), lambda w: ~w.isin(drop))
 
 
 def tokenize_strip_punct(text: Column, stopwords: list[str] = ()) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import written
+
 
 def per_key(df: DataFrame, fields: list[str], aggregates: dict[str, Column]) -> DataFrame:
     """``(field, key_value, <aggregates>)`` for every value of each of ``fields``, in one pass over ``df``.
@@ -23,7 +25,13 @@ def per_key(df: DataFrame, fields: list[str], aggregates: dict[str, Column]) ->
     return grouped.agg(*[a.alias(name) for name, a in aggregates.items()])
 
 
-def heavy_keys(df: DataFrame, fields: list[str], total: int, share: int = 100) -> DataFrame:
-    """``(field, key_value, rows)`` of the keys that more than 1 in ``share`` of ``total`` rows hold; at most ``share``
-    of each field where ``total`` counts the rows of ``df``."""
-    return per_key(df.select(*fields), fields, {"rows": F.count(F.lit(1))}).where(F.col("rows") * share > total)
+def heavy_keys(df: DataFrame, fields: list[str], share: int = 100) -> DataFrame:
+    """``(field, key_value, rows)`` of the keys that more than 1 in ``share`` of all rows of ``df`` hold, rows with null keys
+    included in the total; fewer than ``share`` of each field. The rows are counted in the same pass: they are the rows of a
+    key that all have. An empty table gives no rows."""
+    every = "".join(fields) + "_every_row"
+    counts = written(per_key(df.select(*fields, F.lit("").alias(every)), [*fields, every], {"rows": F.count(F.lit(1))}))
+    total = counts.where(F.col("field") == every).select(F.col("rows").alias("total"))
+    # One row of totals; the planner broadcasts it by its size.
+    heavy = counts.where(F.col("field") != every).withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
+    return heavy.where(F.col("rows") * share > F.col("total")).select("field", "key_value", "rows")

@@ -5,16 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.pairs import attached
+from tallyloom.session import written
+
+
+def term_counts(words: Column) -> Column:
+    """``array<struct<word, n>>`` of an array of words, null ones left out: runs of the sorted array, counted within the row."""
+    def runs(ordered: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        ends = lambda starts: F.transform(starts, lambda at, k: F.struct(F.get(ordered, at).alias("word"), (F.coalesce(F.get(starts, k + 1), F.size(ordered)) - at).alias("n")))
+        return F.element_at(F.transform(F.array(first), ends), 1)
+
+    return F.element_at(F.transform(F.array(F.array_sort(F.array_compact(words))), lambda ordered: F.when(F.size(ordered) > 0, runs(ordered))), 1)
+
 
 def tfidf(docs: DataFrame, item: str, doc: str, words: Column, n_docs: int) -> DataFrame:
     """``(item, doc, word, tfidf)``: term frequency over the most frequent word of the document, times
     ``log2(n_docs / documents with the word)``. A document is one row of ``docs``; the score is negative for words in more
-    than ``n_docs`` documents."""
-    rows = docs.select(F.col(item).alias("item"), F.col(doc).alias("doc"), F.explode(words).alias("word")).where("item is not null")
-    counts = rows.groupBy("item", "doc", "word").agg(F.count("*").alias("n"))
-    most = counts.groupBy("item", "doc").agg(F.max("n").alias("most"))
-    idf = counts.groupBy("word").agg(F.log2(F.lit(float(n_docs)) / F.count("*")).alias("idf"))
-    return counts.join(most, ["item", "doc"]).join(idf, "word").select("item", "doc", "word", (F.col("n") / F.col("most") * F.col("idf")).alias("tfidf"))
+    than ``n_docs`` documents. Rows with a null item are left out; a document without words has no rows.
+
+    Words are counted within the row, so the only shuffles are the map-side combined number of documents per word and its
+    join with the counts, in which the commonest words stay where they are."""
+    rows = docs.select(F.col(item).alias("item"), F.col(doc).alias("doc"), term_counts(words).alias("counts")).where("item is not null and size(counts) > 0")
+    rows = rows.select("item", "doc", F.array_max(F.transform("counts", lambda c: c["n"])).alias("most"), F.explode("counts").alias("c"))
+    rows = written(rows.select("item", "doc", F.col("c.word").alias("word"), (F.col("c.n") / F.col("most")).alias("tf")))
+    held = written(rows.groupBy("word").agg(F.count("*").alias("held")))
+    scored = attached(rows, held, ["word"], "held")
+    return scored.select("item", "doc", "word", (F.col("tf") * F.log2(F.lit(float(n_docs)) / F.col("held"))).alias("tfidf"))
 
 
 def item_profiles(scores: DataFrame, top: int = 200, dedup_terms: bool = False) -> DataFrame:

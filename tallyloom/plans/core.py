@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from tallyloom.functions.text import squeezed, tokenize_alnum, tokenize_strip_pu
 from tallyloom.operators import cf, explore, graph, hot_keys, itemsets, packed_values, profiles, similarity
 from tallyloom.operators.live import latest
 from tallyloom.plans import core_sql
-from tallyloom.session import table, written
+from tallyloom.session import shared_folder, table, written
+from tallyloom.sources import readers, sinks
 from tallyloom.sources.readers import interactions
 from tallyloom.streaming import windows
 
@@ -22,6 +24,7 @@ YEAR = "2018"
 STATE = "NV"
 SUPPORT = 8  # baskets that hold a frequent itemset, at every scale
 SHARED_ITEMS = 8  # links of the user graph
+SIMILAR_LINK = 0.3
 
 
 def live_reviews(spark: SparkSession, root: str, *columns: str) -> DataFrame:
@@ -145,9 +148,10 @@ def item_profiles(spark: SparkSession, root: str) -> DataFrame:
 
 
 def user_profiles(spark: SparkSession, root: str) -> DataFrame:
-    """The size of each user's profile and the ends of its word list."""
+    """Each user's number of words, the ends of its word list, and a sum of hashes over all its words."""
     made = profiles.user_profiles(visits(spark, root), profiles.item_profiles(_tfidf(spark, root)), "user_id", "business_id")
-    return made.groupBy("user").agg(F.count("*").alias("words"), F.min("word").alias("first"), F.max("word").alias("last"))
+    digest = F.sum(F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint"))
+    return made.groupBy("user").agg(F.count("*").alias("words"), F.min("word").alias("first"), F.max("word").alias("last"), digest.alias("digest"))
 
 
 def content_cosine(spark: SparkSession, root: str) -> DataFrame:
@@ -209,10 +213,64 @@ def p7_per_key(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    review = table(spark, root, "review")
-    live = latest(review, "review_id", "loaded_at", ["business_id", "user_id"])
-    total = review.agg(F.count_distinct("review_id")).first()[0]
-    return hot_keys.heavy_keys(live, ["business_id", "user_id"], total).select("field", "key_value")
+    live = latest(table(spark, root, "review"), "review_id", "loaded_at", ["business_id", "user_id"])
+    return hot_keys.heavy_keys(live, ["business_id", "user_id"]).select("field", "key_value")
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def reviews_via_json(spark: SparkSession, root: str) -> DataFrame:
+    """The review table written as JSON lines and read by the reader with its schema."""
+    path = _scratch(spark)
+    sinks.write_json_lines(table(spark, root, "review").drop("loaded_at"), path)
+    return readers.read_reviews(spark, path)
+
+
+def business_via_json(spark: SparkSession, root: str) -> DataFrame:
+    path = _scratch(spark)
+    sinks.write_json_lines(table(spark, root, "business").drop("updated_at"), path)
+    return readers.read_business(spark, path).select("business_id", "name", "state", "categories", "stars", "review_count", F.col("hours")["Monday"].alias("monday"))
+
+
+def pairs_via_csv(spark: SparkSession, root: str) -> DataFrame:
+    path = _scratch(spark)
+    sinks.write_csv(small_baskets(spark, root).distinct(), path)
+    return readers.read_pairs(spark, path)
+
+
+def stopwords_via_text(spark: SparkSession, root: str) -> DataFrame:
+    path = _scratch(spark)
+    sinks.write_text_lines(table(spark, root, "stopwords").dropna(), "word", path)
+    return readers.read_stopwords(spark, path)
+
+
+def lookups_via_json(spark: SparkSession, root: str) -> DataFrame:
+    """Two kinds of model records in one place, one of them read back."""
+    path, review = _scratch(spark), table(spark, root, "review")
+    for column, index in (("business_id", "business_index"), ("user_id", "user_index")):
+        sinks.write_records(similarity.numbered(review, column).withColumnRenamed("idx", index), f"{column}_lookup", path)
+    return readers.read_records(spark, path, "user_id_lookup")
+
+
+def similar_graph(spark: SparkSession, root: str) -> DataFrame:
+    """Businesses linked by a similarity of ``SIMILAR_LINK`` or more: a graph of many components."""
+    pairs = similarity.similar_pairs(visits(spark, root), "business_id", "user_id", USERS, threshold=SIMILAR_LINK)
+    return written(pairs.select(F.col("b1").alias("src"), F.col("b2").alias("dst")))
+
+
+def similar_components(spark: SparkSession, root: str) -> DataFrame:
+    edges = similar_graph(spark, root)
+    return graph.connected_components(graph.vertices(edges), edges)
+
+
+def similar_labels(spark: SparkSession, root: str) -> DataFrame:
+    return graph.label_propagation(similar_graph(spark, root))
+
+
+def component_lines(spark: SparkSession, root: str) -> DataFrame:
+    return graph.community_lines(similar_components(spark, root), "id", "component")
 
 
 QUERIES: dict[str, Query] = {
@@ -246,6 +304,14 @@ QUERIES: dict[str, Query] = {
     "user_cf_predict": user_cf_predict,
     "order_interactions": order_interactions,
     "hourly_events": hourly_events,
+    "reviews_via_json": reviews_via_json,
+    "business_via_json": business_via_json,
+    "pairs_via_csv": pairs_via_csv,
+    "stopwords_via_text": stopwords_via_text,
+    "lookups_via_json": lookups_via_json,
+    "similar_components": similar_components,
+    "similar_labels": similar_labels,
+    "component_lines": component_lines,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_per_key": p7_per_key,

@@ -30,33 +30,57 @@ p as (select (unicode(right(business_id, 1)) % 20)::int as partition_id, count(*
 select r.range::int as partition_id, coalesce(n_items, 0) as n_items from range(20) r left join p on p.partition_id = r.range"""
 
 
-def itemset_sql(levels: int) -> str:
-    """Self-joins over the frequent single items, one select per size."""
-    parts = []
-    for k in range(1, levels + 1):
-        names = [f"x{i}.b" for i in range(k)]
-        joins = " ".join(f"join f x{i} on x{i}.u = x0.u and x{i}.b > x{i - 1}.b" for i in range(1, k))
-        parts.append(f"select {k} as size, concat_ws(',', {', '.join(names)}) as items, count(*) as support from f x0 {joins} group by {', '.join(names)} having count(*) >= (select support from s)")
-    return f"""with {BASKETS}, s as (select greatest(8, ceil(0.02 * count(distinct u)))::bigint as support from k),
-f as (select * from k where b in (select b from k group by b having count(*) >= (select support from s))) """ + " union all ".join(parts)
-
-
-LABELS = f"with {graph(8)}, l0 as (select distinct src as id, src as label from arcs), " + ", ".join(
-    f"""l{i} as (select src as id, label from (select src, label, row_number() over (partition by src order by count(*) desc, label) as k
+def itemset_sql(levels: int, support: int = 8) -> str:
+    """The sets of each basket, grown by one item a level and kept if they are frequent; ``levels`` has to be one more than
+    the largest size that occurs, which ends in an empty level."""
+    made = [f"s1 as (select b as i1, count(*) as n from k group by b having count(*) >= {support}), o1 as (select u, b as i1 from k where b in (select i1 from s1))"]
+    for n in range(2, levels + 1):
+        have, all_ = ", ".join(f"o.i{i}" for i in range(1, n)), ", ".join(f"i{i}" for i in range(1, n + 1))
+        made.append(f"g{n} as materialized (select o.u, {have}, x.i1 as i{n} from o{n - 1} o join o1 x on x.u = o.u and x.i1 > o.i{n - 1})")
+        made.append(f"s{n} as materialized (select {all_}, count(*) as n from g{n} group by {all_} having count(*) >= {support})")
+        made.append(f"o{n} as materialized (select g.* from g{n} g semi join s{n} s on {' and '.join(f'g.i{i} = s.i{i}' for i in range(1, n + 1))})")
+    out = " union all ".join(f"select {n} as size, concat_ws(',', {', '.join(f'i{i}' for i in range(1, n + 1))}) as items, n as support from s{n}" for n in range(1, levels + 1))
+    return f"with {BASKETS}, {', '.join(made)} {out}"
+
+
+def labels_sql(start: str) -> str:
+    return f"with {start}, l0 as (select distinct src as id, src as label from arcs), " + ", ".join(
+        f"""l{i} as (select src as id, label from (select src, label, row_number() over (partition by src order by count(*) desc, label) as k
   from arcs join l{i - 1} on id = dst group by src, label) where k = 1)""" for i in range(1, 6)
-) + " select id, label from l5"
+    ) + " select id, label from l5"
 
-COMPONENTS = f"""with recursive {graph(8)}, walk as (select distinct src as id, src as seen from arcs union select id, dst from walk join arcs on src = seen)
+
+def components_sql(start: str) -> str:
+    return f"""with recursive {start}, walk as (select distinct src as id, src as seen from arcs union select id, dst from walk join arcs on src = seen)
 select id, min(seen) as component from walk group by id"""
 
+
+def betweenness_sql(start: str, levels: int) -> str:
+    """Shortest paths from every vertex, level by level, and credits back from the last level; ``levels`` is at least the
+    diameter."""
+    parts = [start, "f0 as materialized (select distinct src as root, src as v, 1.0::double as paths from arcs)"]
+    for i in range(1, levels + 1):
+        fresh = " and ".join(f"not exists (select 1 from f{j} z where z.root = f.root and z.v = dst)" for j in range(max(0, i - 2), i))
+        parts.append(f"f{i} as materialized (select f.root, dst as v, sum(paths) as paths from f{i - 1} f join arcs on src = f.v where {fresh} group by 1, 2)")
+    parts.append(f"c{levels} as (select root, v, paths, 1.0::double as credit from f{levels})")
+    for i in range(levels, 0, -1):
+        parts.append(f"""w{i} as materialized (select c.root, c.v, p.v as p, c.credit * p.paths / c.paths as flow
+  from c{i} c join arcs on arcs.src = c.v join f{i - 1} p on p.root = c.root and p.v = arcs.dst)""")
+        parts.append(f"""c{i - 1} as materialized (select f.root, f.v, f.paths, 1.0 + coalesce(g.gain, 0) as credit from f{i - 1} f
+  left join (select root, p, sum(flow) as gain from w{i} group by 1, 2) g on g.root = f.root and g.p = f.v)""")
+    flows = " union all ".join(f"select v, p, flow from w{i}" for i in range(1, levels + 1))
+    return f"with {', '.join(parts)} select least(v, p) as src, greatest(v, p) as dst, round(sum(flow) / 2, 6) as betweenness from ({flows}) group by 1, 2"
+
+
 MINHASH = """u as (select user_id, row_number() over (order by user_id) - 1 as x, count(*) over () as n from (select distinct user_id from v)),
 h as (select business_id, i, min((((3583 + i) * x + 4297 * i) % 939193) % (2 * n)) as h from v join u using (user_id), range(1, 31) t(i) group by 1, 2)"""
 VISITS = LIVE + ", v as (select distinct business_id, user_id from live where business_id is not null and user_id is not null)"
 CANDIDATES = f"{VISITS}, {MINHASH}, c as (select distinct x.business_id as a, y.business_id as b from h x join h y on x.i = y.i and x.h = y.h and x.business_id < y.business_id)"
-SIMILAR = f"""with {CANDIDATES}, z as (select business_id, count(*) as n from v group by 1),
-s as (select a, b, count(*) as shared from c join v x on x.business_id = a join v y on y.business_id = b and y.user_id = x.user_id group by 1, 2)
-select a as b1, b as b2, round(shared / (x.n + y.n - shared), 6) as sim from s join z x on x.business_id = a join z y on y.business_id = b
-where shared / (x.n + y.n - shared) >= 0.05"""
+SHARED = f"""{CANDIDATES}, z as (select business_id, count(*) as n from v group by 1),
+s as (select a, b, count(*) as shared from c join v x on x.business_id = a join v y on y.business_id = b and y.user_id = x.user_id group by 1, 2),
+j as (select a, b, shared / (x.n + y.n - shared) as jaccard from s join z x on x.business_id = a join z y on y.business_id = b)"""
+SIMILAR = f"with {SHARED} select a as b1, b as b2, round(jaccard, 6) as sim from j where jaccard >= 0.05"
+SIMILAR_GRAPH = f"{SHARED}, edges as (select a as src, b as dst from j where jaccard >= 0.3), arcs as (select src, dst from edges union all select dst, src from edges)"
 
 TFIDF = f"""{VISITS}, {STOPWORDS}, t as (select business_id as item, review_id as doc, unnest(string_split_regex(regexp_replace(lower(text), '[0-9!-/:-@\\[-`{{-~]', '', 'g'), '{BLANK}')) as word
   from live where business_id is not null),
@@ -112,16 +136,21 @@ SQL: dict[str, str] = {
     "partition_sizes": PARTITION_SIZES,
     "region_pairs": "select user_id, business_id from review where business_id in (select business_id from business where upper(trim(state)) = 'NV')",
     "baskets": f"with {BASKETS} select u as basket, string_agg(b, ',' order by b) as items from k group by u having count(*) > 20",
-    "frequent_itemsets": itemset_sql(4),
+    "frequent_itemsets": itemset_sql(7),
     "cooccurrence_edges": f"with {graph(8)} select src, dst, shared from edges",
-    "components": COMPONENTS,
-    "label_propagation": LABELS,
+    "components": components_sql(graph(8)),
+    "label_propagation": labels_sql(graph(8)),
+    "betweenness": betweenness_sql(graph(8), 12),
+    "similar_components": components_sql(SIMILAR_GRAPH),
+    "similar_labels": labels_sql(SIMILAR_GRAPH),
+    "component_lines": f"""select count(*)::int as n, string_agg('''' || id || '''', ', ' order by id) as line from ({components_sql(SIMILAR_GRAPH)}) group by component""",
     "minhash_signatures": f"with {VISITS}, {MINHASH} select business_id, string_agg(h::varchar, ',' order by i) as signature from h group by 1",
     "lsh_candidates": f"with {CANDIDATES} select a, b from c",
     "similar_items": SIMILAR,
     "tfidf": f"with {TFIDF} select item, doc, word, round(tfidf, 6) as tfidf from scores",
     "item_profiles": f"with {TFIDF} select item, word, place from items",
-    "user_profiles": f"""with {TFIDF} select "user", count(*) as words, min(word) as first, max(word) as last from users group by 1""",
+    "user_profiles": f"""with {TFIDF} select "user", count(*) as words, min(word) as first, max(word) as last,
+  sum(('0x' || md5(word)[:8])::bigint)::bigint as digest from users group by 1""",
     "content_cosine": COSINE,
     "item_cf_model": f"with {ITEM_MODEL} select a, b, round(sim, 6) as sim from model",
     "user_cf_model": f"with {USER_MODEL} select a, b, round(sim, 6) as sim from model",
@@ -131,6 +160,11 @@ SQL: dict[str, str] = {
   from lineitem join orders on l_orderkey = o_orderkey group by 1, 2""",
     "hourly_events": """select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n from events
   where event_type is not null group by 1, 2""",
+    "reviews_via_json": "select review_id, user_id, business_id, stars, date, text from review",
+    "business_via_json": "select business_id, name, state, categories, stars, review_count, map_extract(hours, 'Monday')[1] as monday from business",
+    "pairs_via_csv": f"with {BASKETS} select u as user_id, b as business_id from k",
+    "stopwords_via_text": "select trim(word) as word from stopwords where trim(word) <> ''",
+    "lookups_via_json": "select user_id, row_number() over (order by user_id) - 1 as user_index from (select distinct user_id from review where user_id is not null)",
     "p5_found": P5,
     "p7_found": f"with {LIVE}, k as ({P7.format('count(*) as reviews')}) select field, key_value from k where reviews * 100 > (select count(*) from live)",
     "p7_per_key": f"with {LIVE} {P7.format('count(*) as reviews, round(avg(stars), 6) as mean_stars, min(stars) as least, max(stars) as most')}",
