@@ -21,7 +21,7 @@ g as (select count(*) as groups, sum(in_group) as records from r),
 e as (select business_id, unnest(ts) as term from t), c as (select business_id, term, count(*) as k from e group by 1, 2),
 d as (select term, count(*) as df, sum(k) as w from c group by 1),
 s as (select c.business_id, c.term, c.k, r.in_group as n, d.df, g.groups, d.w - c.k as k2, g.records - r.in_group as n2
-  from c join r using (business_id) join d on d.term = c.term cross join g where c.k >= 3),
+  from c join r using (business_id) join d on d.term = c.term cross join g),
 x as (select *, 2 * (k * ln(k / (n * (k + k2) / (n + n2))) + case when n > k then (n - k) * ln((n - k) / (n * (n + n2 - k - k2) / (n + n2))) else 0 end
   + case when k2 > 0 then k2 * ln(k2 / (n2 * (k + k2) / (n + n2))) else 0 end
   + case when n2 > k2 then (n2 - k2) * ln((n2 - k2) / (n2 * (n + n2 - k - k2) / (n + n2))) else 0 end) as g2 from s)
@@ -61,7 +61,7 @@ SQL = {
     "p10_measures": P10,
     "p2_found": f"select item_a as business_a, item_b as business_b from ({P2}) where together >= 8 and together * baskets >= 3 * baskets_a * baskets_b",
     "p2_pairs": P2,
-    "p3_found": f"select business_id, term from ({P3}) where (with_term / in_group) * log2(groups / groups_with_term) >= 1.37",
+    "p3_found": f"select business_id, term from ({P3}) where with_term >= 3 and (with_term / in_group) * log2(groups / groups_with_term) >= 1.37",
     "p3_scores": P3,
     "p4_found": P4,
     "p6_classes": P6_CLASSES,

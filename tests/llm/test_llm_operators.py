@@ -225,6 +225,29 @@ def test_similar_sets_between_tables(spark):
     assert rows_of(links, "a", "b") == [("a", "a"), ("b", "a"), ("b", "c")] and members.count() == 4
 
 
+def test_recall_and_work_around_a_hot_token(spark):
+    """100,000 records of ten tokens, one of them in all: no two similar, but for 2,000 planted pairs just above the threshold (7 of 13),
+    which share the hot token and six others of ten."""
+    n, planted = 100_000, 2_000
+    own = F.when((F.col("k") < 6) & (F.col("id") < 2 * planted), F.concat(F.lit("p"), (F.col("id") % planted).cast("string"), F.lit("-"), F.col("k").cast("string")))
+    rows = spark.range(n).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).select("id", own.alias("t"), "k")
+    rows = rows.select(F.col("id").cast("string").alias("r"), F.coalesce("t", F.concat("id", F.lit("_"), "k")).alias("t"))
+    rows = rows.unionAll(spark.range(n).select(F.col("id").cast("string").alias("r"), F.lit("hot").alias("t")))
+    links, _ = similar_sets.similar_sets(rows, "r", "t", 0.5)
+    got = {frozenset((int(r["a"]), int(r["b"]))) for r in links.collect()}
+    want = {frozenset((i, i + planted)) for i in range(planted)}
+    assert got <= want and len(got) >= 0.999 * planted
+
+
+def test_sets_that_only_seem_equal_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(similar_sets.F, "bit_xor", lambda c: F.max(F.lit(0).cast("bigint")))
+    monkeypatch.setattr(similar_sets.F, "sum", lambda c: F.max(F.lit(0)))
+    df = spark.createDataFrame([(r, t) for r, ts in {"a": "xyz", "b": "xyw", "c": "xyz", "d": "pqr"}.items() for t in ts], "r string, t string")
+    links, members = similar_sets.similar_sets(df, "r", "t", 0.5)
+    assert {r["r"]: r["class"] for r in members.collect()} == {"a": "a", "b": "b", "c": "a", "d": "d"}
+    assert rows_of(links, "a", "b") == [("a", "b")]
+
+
 # --- 8: encoding
 
 @has_vocabulary
