@@ -31,7 +31,5 @@ def heavy_keys(df: DataFrame, fields: list[str], share: int = 100) -> DataFrame:
     key that all have. An empty table gives no rows."""
     every = "".join(fields) + "_every_row"
     counts = written(per_key(df.select(*fields, F.lit("").alias(every)), [*fields, every], {"rows": F.count(F.lit(1))}))
-    total = counts.where(F.col("field") == every).select(F.col("rows").alias("total"))
-    # One row of totals; the planner broadcasts it by its size.
-    heavy = counts.where(F.col("field") != every).withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
-    return heavy.where(F.col("rows") * share > F.col("total")).select("field", "key_value", "rows")
+    whole = counts.where(F.col("field") == every).first()
+    return counts.where((F.col("field") != every) & (F.col("rows") * share > F.lit(whole["rows"] if whole else 0)))
