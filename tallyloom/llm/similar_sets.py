@@ -177,13 +177,14 @@ def _candidates(tokens: DataFrame, threshold: float, trees: int, between: bool)
     nodes, found, depth = written(first.where("trees <> 0")), [], 1
     while True:
         sized = with_group_sizes(nodes, ["node"])
-        found.append(_in_leaves(sized.where(F.col("_n") <= LEAF), threshold, between))
+        # Written level by level: one plan of all levels would grow with their number.
+        found.append(written(_in_leaves(sized.where(F.col("_n") <= LEAF), threshold, between).distinct()))
         large = written(sized.where(F.col("_n") > LEAF))
         smallest, largest = large.agg(F.min("n"), F.max("n")).first()
         if smallest is None:
             break
         if smallest <= _covered_size(depth, threshold) // 2:
-            found.append(_covered(large, depth, threshold, between))
+            found.append(written(_covered(large, depth, threshold, between)))
         if largest == depth:
             break
         # A record's tokens meet its nodes in chunks, so that a record of very many is spread over tasks.
@@ -199,7 +200,7 @@ def _candidates(tokens: DataFrame, threshold: float, trees: int, between: bool)
         going = children
         if not dense.isEmpty():
             dense = written(dense)
-            found.append(_in_blocks(_of_nodes(large, dense, True), threshold, between))
+            found.append(written(_in_blocks(_of_nodes(large, dense, True), threshold, between)))
             going = _of_nodes(children, dense, False)
         # Two orders of the same tokens are one node; a record that came both ways is in it once.
         same = [F.first(c).alias(c) for c in ("path", "chunks", *RECORD[1:])]
