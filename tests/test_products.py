@@ -1,3 +1,4 @@
+from collections import defaultdict
 from itertools import combinations
 from random import Random
 
@@ -5,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyloom.functions.hashing import USERS
-from tallyloom.operators import products, similarity
+from tallyloom.functions.hashing import ITEMS, USERS
+from tallyloom.operators import cf, products, similarity
 
 
 def made(seed, members=120, groups=60):
@@ -84,3 +85,38 @@ def test_similar_pairs_leave_the_tiles_finished(spark, monkeypatch, rows):
     wide = similarity.lsh_candidates(similarity.minhash(frame(spark, sets), "m", "g", USERS), "m", 30, 15)
     two = {(a, b) for a, b in combinations(sorted(sets), 2) if any(sig[a][k : k + 2] == sig[b][k : k + 2] for k in range(0, 30, 2))}
     assert sorted(map(tuple, wide.collect())) == sorted(two)
+
+
+@pytest.mark.parametrize("entity,other,jaccard,family", [("item", "user", None, None), ("user", "item", 0.05, ITEMS)])
+def test_predictions_without_a_written_model(spark, monkeypatch, entity, other, jaccard, family):
+    monkeypatch.setattr(products, "TASK_ROWS", 200)
+    sets = made(3)
+    rated = frame(spark, sets, entity, other)
+    order = order_of(sets)
+    model = cf.pearson_pairs(rated, entity, other, min_jaccard=jaccard, family=family)
+    assert "Exchange" not in above_arrow(model) and "Join" not in above_arrow(model)
+    sims = {(r["a"], r["b"]): r["sim"] for r in model.collect()}
+    sig = {m: signature(held, order, ITEMS) for m, held in sets.items()}
+    for a, b in combinations(sorted(sets), 2):
+        shared = len(sets[a].keys() & sets[b].keys())
+        fits = jaccard is None or shared / len(sets[a].keys() | sets[b].keys()) > jaccard and any(x == y for x, y in zip(sig[a], sig[b], strict=True))
+        if (a, b) in sims:
+            assert shared >= 3 and fits
+    near = defaultdict(list)
+    for (a, b), s in sims.items():
+        near[a].append((-round(s, 9), b, s))
+        near[b].append((-round(s, 9), a, s))
+    want = set()
+    for m, held in sets.items():
+        for g in held:
+            for _, v, s in [x for x in sorted(near[m]) if g in sets[x[1]]][:3]:
+                want.add((m, g, v, sets[v][g], round(s**2.5, 9)))
+    got = cf.nearest_rated(rated, entity, other, min_jaccard=jaccard, family=family).select(entity, other, "stars", "w").collect()
+    assert sorted((r[0], r[1], r[2], round(r[3], 9)) for r in got) == sorted((m, g, s, w) for m, g, _, s, w in want)
+    ready = rated.select("user", "item", "stars")
+    if entity == "item":
+        asked, ours = cf.predict_item_based(ready, ready, model), cf.predict_rated_item_based(ready)
+    else:
+        asked, ours = cf.predict_user_based(ready, ready, model), cf.predict_rated_user_based(ready, jaccard, family)
+    key = lambda df: sorted((r["user"], r["item"], round(r["stars"], 6)) for r in df.collect())
+    assert key(ours) == key(asked)
