@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tallyloom.functions.hashing import ITEMS, USERS
-from tallyloom.operators import cf, products, similarity
+from tallyloom.operators import cf, graph, products, similarity
 
 
 def made(seed, members=120, groups=60):
@@ -120,3 +120,11 @@ def test_predictions_without_a_written_model(spark, monkeypatch, entity, other,
         asked, ours = cf.predict_user_based(ready, ready, model), cf.predict_rated_user_based(ready, jaccard, family)
     key = lambda df: sorted((r["user"], r["item"], round(r["stars"], 6)) for r in df.collect())
     assert key(ours) == key(asked)
+
+
+def test_edges_leave_the_tiles_finished(spark):
+    sets = made(4)
+    edges = graph.cooccurrence_edges(frame(spark, sets), "m", "g", 4)
+    shared = {(a, b): len(sets[a].keys() & sets[b].keys()) for a, b in combinations(sorted(sets), 2)}
+    assert sorted(map(tuple, edges.collect())) == sorted((a, b, n) for (a, b), n in shared.items() if n >= 4)
+    assert "Exchange" not in above_arrow(edges)
